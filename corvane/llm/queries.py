@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, langid, simhash
+from corvane.llm import bpe, decontaminate, langid, simhash, substrings
 from corvane.llm._common import remainder
 
 
@@ -30,6 +30,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint_bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), _sha(F.col("kept")).alias("kept_sha256"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, "text", _table(spark, sf_dir, "benchmark"), "item_id", "text")
@@ -45,7 +51,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_simhash, op8_decontaminate, op9_langid)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_simhash, op5_substrings, op8_decontaminate, op9_langid)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
