@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,3 +88,15 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(kind)
+
+
+def rank_among(column: str, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are below the column's value, over two levels of about the root of their number."""
+    step = max(1, math.isqrt(len(bounds)))
+    coarse, fine = bounds[::step], [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    if not bounds:
+        return F.lit(0)
+    below = lambda values: F.size(F.filter(values, lambda b: b < F.col(column)))
+    literal = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    group = below(literal(coarse))
+    return F.when(group == 0, 0).otherwise((group - 1) * step + below(F.element_at(F.array(*[literal(x) for x in fine]), F.greatest(group, F.lit(1))))).cast("int")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, langid, simhash, substrings
+from corvane.llm import bpe, decontaminate, fingerprints, langid, simhash, substrings
 from corvane.llm._common import remainder
 
 
@@ -36,6 +36,20 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), _sha(F.col("kept")).alias("kept_sha256"))
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.with_next(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    replaced = F.floor(F.col("n_chars") / 3).cast("int")
+    found = found.withColumn("n_chars", F.char_length("text").cast("long"))
+    found = found.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - replaced), F.substring("next_text", F.lit(1), replaced)))
+    found = fingerprints.with_fingerprint(found.drop("text", "next_text"), "edited", "edited_print")
+    digest = lambda c: F.sha2(F.concat_ws("|", F.array_join(c["hashes"].cast("array<string>"), " "), F.array_join(c["places"].cast("array<string>"), " ")), 256)
+    own, edited = F.col("fingerprint"), F.col("edited_print")
+    return found.select(
+        "doc_id", "n_chars", _sha(F.col("edited")).alias("edited_sha256"), digest(own).alias("fingerprint"), digest(edited).alias("edited_fingerprint"),
+        fingerprints.likeness(own, edited).alias("near_edited"), fingerprints.likeness(own, F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, "text", _table(spark, sf_dir, "benchmark"), "item_id", "text")
@@ -51,7 +65,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_simhash, op5_substrings, op8_decontaminate, op9_langid)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_simhash, op5_substrings, op7_winnowing, op8_decontaminate, op9_langid)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

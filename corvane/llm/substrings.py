@@ -23,9 +23,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm._common import rank_among
+
 LENGTH = 50
 #: Bytes of an anchor. Longer ones are shared by chance less often, shorter ones are fewer.
 GRAM = 16
@@ -270,7 +272,7 @@ def without_repeats(docs: DataFrame, doc_id: str, text: str, length: int = LENGT
     parts = blocks
     ranges = [i / blocks for i in range(1, blocks)]
     bounds = sorted(set(known.agg(F.percentile_approx("doc_id", ranges, max(10_000, 10 * blocks))).first()[0] or [])) if ranges else []
-    blocked = known.select(_rank("doc_id", bounds).alias("block"), "doc_id", "text")
+    blocked = known.select(rank_among("doc_id", bounds).alias("block"), "doc_id", "text")
     by_block = blocked.groupBy("block")
 
     def listed(table: pa.Table) -> pa.Table:
@@ -359,18 +361,6 @@ def without_repeats(docs: DataFrame, doc_id: str, text: str, length: int = LENGT
     return out.unionByName(idless)
 
 
-def _rank(column: str, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are below the column's value, over two levels of about the root of their number."""
-    step = max(1, math.isqrt(len(bounds)))
-    coarse, fine = bounds[::step], [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if not bounds:
-        return F.lit(0)
-    below = lambda values: F.size(F.filter(values, lambda b: b < F.col(column)))
-    literal = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
-    group = below(literal(coarse))
-    return F.when(group == 0, 0).otherwise((group - 1) * step + below(F.element_at(F.array(*[literal(x) for x in fine]), F.greatest(group, F.lit(1))))).cast("int")
-
-
 def _union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the given spans; spans that touch become one."""
     if not len(begin):
