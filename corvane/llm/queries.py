@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, fingerprints, langid, simhash, substrings
+from corvane.llm import bpe, chat, decontaminate, fingerprints, langid, simhash, substrings
 from corvane.llm._common import remainder
 
 
@@ -25,6 +25,18 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(digests, "token_ids", *vocabulary).select("doc_id", "n_tokens", "ids_sha256", _sha(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = "SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(added))
+    formatted = chat.format_records(chat.gathered(rows, "conv_id", "turn", "role", "text"), "record").drop("record")
+    read = chat.masked_text(chat.read_back(formatted))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), _sha(lines).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"),
+        _sha(F.col("loss_text")).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"), "layout",
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint_bits")), 16, "0").alias("fingerprint"), "component_id")
@@ -65,12 +77,22 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_simhash, op5_substrings, op7_winnowing, op8_decontaminate, op9_langid)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_chat_format, op4_simhash, op5_substrings, op7_winnowing, op8_decontaminate, op9_langid)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+_ESCAPES = r"len(regexp_extract_all({}, '[<\[]\\*(\||/?s>|/?SYS>|/?INST\])'))"
+
 ORACLES = {
+    "op3_chat_format": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role))
+        SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+            sum(23 + length(role) + length(text) + {_ESCAPES.format("role")} + {_ESCAPES.format("text")})::BIGINT AS formatted_chars, 'messages' AS layout
+        FROM c GROUP BY conv_id""",
     "op8_decontaminate": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ITEM_WORDS}') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ITEM_WORDS}') AS w FROM benchmark),
