@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, chat, decontaminate, fingerprints, langid, simhash, substrings
+from corvane.llm import bpe, chat, decontaminate, fingerprints, langid, simhash, substrings, toxicity
 from corvane.llm._common import remainder
 
 
@@ -77,7 +77,14 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_chat_format, op4_simhash, op5_substrings, op7_winnowing, op8_decontaminate, op9_langid)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, "doc_id", "text", _table(spark, sf_dir, "labels"), "doc_id", "toxic", lambda c: remainder(c, 3) != 1)
+    found = toxicity.score(docs, "text", model)
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_chat_format, op4_simhash, op5_substrings, op7_winnowing, op8_decontaminate, op9_langid, op10_toxicity)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
