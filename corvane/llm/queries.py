@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, chat, decontaminate, fingerprints, langid, simhash, substrings, toxicity
+from corvane.llm import bpe, brown, chat, decontaminate, fingerprints, langid, simhash, substrings, toxicity
 from corvane.llm._common import remainder
 
 
@@ -48,6 +48,13 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), _sha(F.col("kept")).alias("kept_sha256"))
 
 
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = brown.fit(docs.where(remainder("doc_id", 7) != 2), "text")
+    found = brown.score(docs.select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out")), "text", model)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.with_next(_table(spark, sf_dir, "documents"), "doc_id", "text")
     replaced = F.floor(F.col("n_chars") / 3).cast("int")
@@ -84,7 +91,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_chat_format, op4_simhash, op5_substrings, op7_winnowing, op8_decontaminate, op9_langid, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_chat_format, op4_simhash, op5_substrings, op6_brown_lm, op7_winnowing, op8_decontaminate, op9_langid, op10_toxicity)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
