@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, brown, chat, decontaminate, fingerprints, langid, simhash, substrings, toxicity
+from corvane.llm import bpe, brown, chat, decontaminate, fingerprints, langid, lines, simhash, substrings, toxicity
 from corvane.llm._common import remainder
 
 
@@ -18,6 +18,12 @@ def _sha(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.without_repeats(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    numbers = F.array_join(F.col("removed").cast("array<string>"), ",")
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), _sha(numbers).alias("removed_sha256"), _sha(F.col("kept")).alias("kept_sha256"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", *vocabulary).select("doc_id", "token_ids")
@@ -91,7 +97,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_chat_format, op4_simhash, op5_substrings, op6_brown_lm, op7_winnowing, op8_decontaminate, op9_langid, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_chat_format, op4_simhash, op5_substrings, op6_brown_lm, op7_winnowing, op8_decontaminate, op9_langid, op10_toxicity)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
