@@ -6,15 +6,16 @@ to ``length - GRAM`` before and behind it. Per block of documents (a range of id
 their anchors and met with those of all other blocks:
 
 * a context that an earlier document has is removed whole: all strings in it start there too;
-* of the others, those whose anchor has further contexts go to a suffix array by anchor. Its Burrows-Wheeler transform
-  is extended backward, breadth first, from the empty string: each step finds the suffixes whose common prefix with
-  their neighbour is one byte longer, and stops at ``length``. Suffixes that are not separated by then share a string
-  of that length; those of later documents are removed.
-* contexts of an anchor with more than ``hot`` of them would be a group without bound: their strings meet by hash
+* each string in a context also holds half of what is left beside the anchor, on one side or the other. Where another
+  context has the anchor and that half too, the side goes to a suffix array by anchor. Its Burrows-Wheeler transform is
+  extended backward, breadth first, from the empty string: each step finds the suffixes whose common prefix with their
+  neighbour is one byte longer, and stops at ``length``. Suffixes that are not separated by then share a string of that
+  length; those of later documents are removed.
+* an anchor and half that more than ``hot`` contexts have would be a group without bound: their strings meet by hash
   instead, of which each block sends one for its smallest document only.
 
-Texts are shuffled once; what else moves is 13 bytes for each distinct context of a block, and the bytes of the
-contexts that the second point needs.
+Texts are shuffled once; what else moves is 16 bytes for each distinct context of a block, and the bytes that the
+second point needs.
 """
 
 from __future__ import annotations
@@ -72,9 +73,10 @@ def _slide(x: np.ndarray, width: int, least) -> np.ndarray:
 
 
 def anchors(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM, stride: int = STRIDE) -> tuple[np.ndarray, ...]:
-    """Of documents that stand one behind the other: places of anchors, their hash, and start, end and hash of their contexts."""
+    """Of documents that stand one behind the other: places of anchors, their hash, start, end and hash of their contexts,
+    and hashes of the anchor with half the margin before it and behind it (0 where the document is too short)."""
     margin = length - gram
-    n = len(text)
+    half, n = margin // 2, len(text)
     power, inverse = _powers(min(n, stride + 3 * length) + 1)
     out: list[tuple[np.ndarray, ...]] = []
     for a in range(0, n, stride):
@@ -102,10 +104,14 @@ def anchors(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
         right = np.minimum(places + gram + margin, end[places - lo])
         context = (sums[right - lo] - sums[left - lo]) * inverse[left - lo]
         context ^= ((places - left) * 128 + (right - places)).astype(np.uint64) * _U(0xA24BAED4963EE407)
-        out.append((places, hashed[places - lo], left, right, _mixed(context)))
+        sides = []
+        for a_, b_, fits in ((places - half, places + gram, left <= places - half), (places, places + gram + margin - half + 1, right >= places + gram + margin - half + 1)):
+            a_, b_ = np.where(fits, a_, lo) - lo, np.where(fits, b_, lo) - lo
+            sides.append(np.where(fits, (_mixed((sums[b_] - sums[a_]) * inverse[a_]) >> _U(32)) | _U(1), 0).astype(np.uint32))
+        out.append((places, hashed[places - lo], left, right, _mixed(context), *sides))
     if not out:
         none = np.zeros(0, np.int64)
-        return none, none.astype(np.uint64), none, none, none.astype(np.uint64)
+        return none, none.astype(np.uint64), none, none, none.astype(np.uint64), none.astype(np.uint32), none.astype(np.uint32)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -121,58 +127,70 @@ class Block:
         self.length, self.parts = length, parts
 
     def list(self) -> None:
-        self.places, hashed, self.left, self.right, context = anchors(self.text, self.ends, self.length)
+        self.places, self.anchor, self.left, self.right, context, before, behind = anchors(self.text, self.ends, self.length)
         self.doc = self.ids[np.searchsorted(self.ends, self.places, side="right")] if len(self.places) else self.places
-        self.anchor = hashed >> _U(24)
         self.context, self.first, self.which = np.unique(context, return_index=True, return_inverse=True)
+        self.sides = np.stack((before[self.first], behind[self.first]), axis=1)
         self.part = (self.anchor[self.first] % _U(self.parts)).astype(np.int64)
         self.order = np.argsort(self.part, kind="stable")
         self.bounds = np.searchsorted(self.part[self.order], np.arange(self.parts + 1))
 
     def contexts(self):
-        """For each part with any: its number, the context hashes and the anchors, packed."""
-        anchor = self.anchor[self.first]
+        """For each part with any: its number, the hashes of contexts and of their sides, packed."""
         for p in np.flatnonzero(np.diff(self.bounds)):
             own = self.order[self.bounds[p] : self.bounds[p + 1]]
-            yield int(p), self.context[own].tobytes() + np.ascontiguousarray(anchor[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
+            yield int(p), self.context[own].tobytes() + self.sides[own].tobytes()
+
+    def span(self, flag: np.ndarray, before: int, behind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each anchor's context what holds the strings of the sides that are flagged."""
+        margin = self.length - GRAM
+        half = margin // 2
+        begin = np.where(flag & before > 0, self.left, np.maximum(self.left, self.places - half + 1))
+        end = np.where(flag & behind > 0, self.right, np.minimum(self.right, self.places + GRAM + margin - half))
+        return begin, end
 
-    def strings(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, place and hash of all strings of ``length`` in the contexts ``own``, each once."""
-        count = self.right[own] - self.left[own] - self.length + 1
-        place = np.unique(np.repeat(self.left[own] - np.cumsum(count) + count, count) + np.arange(count.sum()))
+    def strings(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, place and hash of all strings of ``length`` in the given spans, each once."""
+        count = np.maximum(end - begin - self.length + 1, 0)
+        place = np.unique(np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum()))
         power, hashed = _powers(self.length)[0], np.empty(len(place), np.uint64)
         for k in range(0, len(place), 1 << 14):
             hashed[k : k + (1 << 14)] = (_TABLE[self.text[place[k : k + (1 << 14), None] + np.arange(self.length)]] * power).sum(axis=1, dtype=np.uint64)
         return self.ids[np.searchsorted(self.ends, place, side="right")] if len(place) else place, place, _mixed(hashed)
 
 
-SEEN, MORE, MANY = 1, 2, 4
+#: An earlier block has the context; another context has its anchor and the half before it, or behind it; many have.
+SEEN, BEFORE, BEHIND, MANY_BEFORE, MANY_BEHIND = 1, 2, 4, 8, 16
 
 
 def judged(blocks: list[int], payloads: list[bytes], hot: int) -> list[bytes]:
-    """For each block's contexts of one part: has an earlier block it (SEEN), has its anchor others (MORE), over ``hot`` (MANY)?"""
-    sizes = [len(p) // 13 for p in payloads]
+    """For each block's contexts of one part: what holds of the above."""
+    sizes = [len(p) // 16 for p in payloads]
     context = np.concatenate([np.frombuffer(p, "<u8", n) for p, n in zip(payloads, sizes)])
-    anchor = np.zeros((len(context), 8), np.uint8)
-    anchor[:, :5] = np.concatenate([np.frombuffer(p, np.uint8, 5 * n, 8 * n).reshape(-1, 5) for p, n in zip(payloads, sizes)])
-    anchor = anchor.view("<u8").ravel()
+    sides = np.concatenate([np.frombuffer(p, "<u4", 2 * n, 8 * n).reshape(-1, 2) for p, n in zip(payloads, sizes)])
     order = np.lexsort((np.repeat(blocks, sizes), context))
     fresh = np.ones(len(order), bool)
     fresh[1:] = context[order][1:] != context[order][:-1]
     flags = np.zeros(len(order), np.uint8)
     flags[order[~fresh]] = SEEN
-    _, which, count = np.unique(anchor[order[fresh]], return_inverse=True, return_counts=True)
-    count = count[which]
-    flags[order[fresh]] |= np.where(count > 1, MORE, 0).astype(np.uint8) | np.where(count > hot, MANY, 0).astype(np.uint8)
+    own = order[fresh]
+    for side, more, many in ((0, BEFORE, MANY_BEFORE), (1, BEHIND, MANY_BEHIND)):
+        _, which, count = np.unique(sides[own, side], return_inverse=True, return_counts=True)
+        count = np.where(sides[own, side] == 0, 0, count[which])
+        flags[own] |= np.where(count > hot, many, np.where(count > 1, more, 0)).astype(np.uint8)
     return [x.tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1])]
 
 
-def suffix_array(symbols: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Suffixes up to their string's end (``rest`` symbols on, where a 0 stands) in order; equal ones by place."""
+def suffix_array(symbols: np.ndarray, rest: np.ndarray, length: int) -> np.ndarray:
+    """Suffixes in order of ``length`` symbols at least, up to their string's end (``rest`` symbols on, where a 0
+    stands); equal ones by place.
+
+    That is enough for intervals of strings of up to ``length``: suffixes which an order of whole suffixes would put
+    otherwise lie in the same ones.
+    """
     n, bits = len(symbols), max(1, int(symbols.max()).bit_length())
     done = 63 // bits
-    key, longest = np.zeros(n, np.uint64), int(rest.max()) + 1
+    key, longest = np.zeros(n, np.uint64), min(length, int(rest.max()) + 1)
     for i in range(done):
         key <<= _U(bits)
         key[: n - i] |= np.where(rest[: n - i] >= i, symbols[i:], 0).astype(np.uint64)
@@ -239,7 +257,7 @@ def repeated(contexts: list[bytes], docs: np.ndarray, length: int) -> list[tuple
     symbols = alphabet[raw]
     symbols[stops] = 0
     rest = np.repeat(stops, sizes + 1) - np.arange(len(raw))
-    order = suffix_array(symbols, rest)
+    order = suffix_array(symbols, rest, length)
     starts = np.flatnonzero(separated(symbols, order, length))
     owner = np.repeat(np.arange(len(contexts)), sizes + 1)
     doc = docs[owner][order]
@@ -295,10 +313,12 @@ def without_repeats(docs: DataFrame, doc_id: str, text: str, length: int = LENGT
         flag = flags[block.which]
         gone = (flag & SEEN > 0) | (block.doc > block.doc[block.first][block.which])
         out, begin, end = [], [block.left[gone]], [block.right[gone]]
-        asked = ~gone & (flag & MORE > 0)
-        for own in _dealt(np.flatnonzero(asked & (flag & MANY == 0)), block.anchor, parts):
-            out.append((int(block.anchor[own[0]] % _U(parts)), number, _contexts(block, own)))
-        doc, place, hashed = block.strings(np.flatnonzero(asked & (flag & MANY > 0)))
+        first, last = block.span(flag, BEFORE, BEHIND)
+        for own in _dealt(np.flatnonzero(~gone & (flag & (BEFORE | BEHIND) > 0)), block.anchor, parts):
+            out.append((int(block.anchor[own[0]] % _U(parts)), number, _contexts(block, own, first, last)))
+        many = np.flatnonzero(~gone & (flag & (MANY_BEFORE | MANY_BEHIND) > 0))
+        first, last = block.span(flag, MANY_BEFORE, MANY_BEHIND)
+        doc, place, hashed = block.strings(first[many], last[many])
         if len(doc):
             order = np.lexsort((place, doc, hashed))
             doc, place, hashed = doc[order], place[order], hashed[order]
@@ -384,11 +404,11 @@ def _packed(spans: tuple[np.ndarray, np.ndarray]) -> bytes:
     return np.stack(spans, axis=1).astype("<i8").tobytes()
 
 
-def _contexts(block: Block, own: np.ndarray) -> bytes:
+def _contexts(block: Block, own: np.ndarray, first: np.ndarray, last: np.ndarray) -> bytes:
     """Number, documents, places, sizes and bytes of contexts."""
-    left, size = block.left[own], block.right[own] - block.left[own]
-    data = block.text.tobytes() if len(own) > 10_000 else memoryview(block.text)
-    body = b"".join(bytes(data[a : a + n]) for a, n in zip(left.tolist(), size.tolist()))
+    left, size = first[own], last[own] - first[own]
+    data = memoryview(block.text)
+    body = b"".join([data[a : a + n] for a, n in zip(left.tolist(), size.tolist())])
     return np.int64(len(own)).tobytes() + block.doc[own].astype("<i8").tobytes() + left.astype("<i8").tobytes() + size.astype("<i2").tobytes() + body
 
 
