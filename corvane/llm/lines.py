@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -123,8 +123,8 @@ class Block:
     """The documents of a block in order of id and text, and the first of each distinct line among them."""
 
     def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray, distance: int, shortest: int):
-        raw = sorted(zip(ids.to_pylist(), texts.to_pylist()))
-        self.ids, self.lines = [i for i, _ in raw], [t.split("\n") for _, t in raw]
+        raw = sorted(zip(ids.to_pylist(), texts.to_pylist(), range(len(ids))))
+        self.ids, self.lines, self.rows = [i for i, _, _ in raw], [t.split("\n") for _, t, _ in raw], [k for _, _, k in raw]
         self.distance, self.shortest = distance, shortest
         self.at: list[tuple[int, int]] = []  # document and number of each distinct line's first place
         self.line: list[str] = []
@@ -233,22 +233,26 @@ def later_alike(members: list[Member], distance: int, group: int = GROUP) -> set
     return out
 
 
-def without_repeats(docs: DataFrame, doc_id: str, text: str, distance: int = DISTANCE, shortest: int = SHORTEST, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_lines, removed, kept) for each row: the numbers (from 0) of its removed lines, and the text without them.
+def without_repeats(docs: DataFrame, doc_id: str, text: str, distance: int = DISTANCE, shortest: int = SHORTEST, block_bytes: int = BLOCK_BYTES, hot: int = HOT, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_lines, removed, kept) for each row: the numbers (from 0) of its removed lines, and the text without them;
+    then the columns ``carry``, which may not have those names.
 
     Lines are parted by line feeds and compared without the ASCII white space around them; blank ones stay. A line goes
     if an equal one stands before it, in order of doc_id, then text, then place; or, if it has ``shortest`` code points,
     a line within ``distance`` edits (insert, delete, replace a code point) that has as many. What stands before counts
     whether it is itself removed or not. A null text is one empty line. Rows with a null id are left as they are; an
-    empty table gives an empty result; other columns are not carried.
+    empty table gives an empty result; other columns than ``carry`` are left out.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if {c.lower() for c in carry} & {"doc_id", "text", "block", "n_lines", "removed", "kept"}:
+        raise ValueError(f"a carried column has the name of a new one: {carry}")
+    carried = [F.col(f"`{c}`") for c in carry]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carried)
     given = rows.where("doc_id IS NOT NULL")
     size = given.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = parts = max(1, math.ceil(size / block_bytes))
     shares = [i / blocks for i in range(1, blocks)]
     bounds = sorted(set(given.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * blocks))).first()[0] or [])) if shares else []
-    by_block = given.select(rank_among("doc_id", bounds).alias("block"), "doc_id", "text").groupBy("block")
+    by_block = given.select(rank_among("doc_id", bounds).alias("block"), "doc_id", "text", *carried).groupBy("block")
 
     def loaded(table: pa.Table) -> tuple[int, Block]:
         block = Block(table["doc_id"], table["text"], distance, shortest)
@@ -313,11 +317,12 @@ def without_repeats(docs: DataFrame, doc_id: str, text: str, distance: int = DIS
             gone[d].add(k)
         kept = ["\n".join([x for k, x in enumerate(own) if k not in gone[d]] if d in gone else own) for d, own in enumerate(block.lines)]
         removed = [sorted(gone[d]) if d in gone else [] for d in range(len(kept))]
-        return pa.table({"doc_id": pa.array(block.ids, pa.int64()), "n_lines": pa.array([len(x) for x in block.lines], pa.int64()), "removed": pa.array(removed, pa.list_(pa.int32())), "kept": pa.array(kept, pa.string())})
+        return pa.table({"doc_id": pa.array(block.ids, pa.int64()), "n_lines": pa.array([len(x) for x in block.lines], pa.int64()), "removed": pa.array(removed, pa.list_(pa.int32())), "kept": pa.array(kept, pa.string())} | {c: left[c].take(block.rows).combine_chunks() for c in carry})
 
     flags = by_block.applyInArrow(listed, "part int, block int, payload binary").groupBy("part").applyInArrow(judged, "block int, part int, flags binary")
     sent = by_block.cogroup(flags.groupBy("block")).applyInArrow(chosen, "part int, block int, key bigint, doc int, number int, doc_id bigint, line string, rest string")
     gone = sent.groupBy("part").applyInArrow(compared, "block int, doc int, number int")
-    out = by_block.cogroup(gone.groupBy("block")).applyInArrow(cut, "doc_id bigint, n_lines bigint, removed array<int>, kept string")
-    idless = rows.where("doc_id IS NULL").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.array().cast("array<int>").alias("removed"), F.col("text").alias("kept"))
+    schema = ", ".join(["doc_id bigint, n_lines bigint, removed array<int>, kept string"] + [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry])
+    out = by_block.cogroup(gone.groupBy("block")).applyInArrow(cut, schema)
+    idless = rows.where("doc_id IS NULL").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.array().cast("array<int>").alias("removed"), F.col("text").alias("kept"), *carried)
     return out.unionByName(idless)
