@@ -65,13 +65,13 @@ def merged(history: DataFrame, key: str = "dedupe_key", order: str = "ord", newe
         last = F.max_by(F.struct(*group), order)
         out += [last[c].alias(c) for c in group]
     if "raw_data" in columns:
-        maps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("raw_data").alias("m"))))
+        maps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.map_entries("raw_data").alias("m"))))
         out.append(maps.alias("_maps"))
     found = rows.groupBy(key).agg(*out)
     if "raw_data" in columns:
         empty = F.create_map().cast("map<string,string>")
         later = lambda a, b: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
-        found = found.withColumn("raw_data", F.aggregate("_maps", empty, lambda a, x: later(a, F.coalesce(x["m"], empty)))).drop("_maps")
+        found = found.withColumn("raw_data", F.aggregate("_maps", empty, lambda a, x: later(a, F.coalesce(F.map_from_entries(x["m"]), empty)))).drop("_maps")
     return found
 
 
