@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -56,6 +58,50 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         yield batch.slice(start)
 
 
+#: Rows that travel to Python at a time, at most, where the session has Spark's own number: texts are longer than numbers.
+BATCH_ROWS, SPARKS_ROWS = 1_000, "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session send fewer rows at a time to Python; a number that somebody has chosen stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, SPARKS_ROWS) == SPARKS_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def released() -> None:
+    """Gives what a task has freed back to the system: workers are reused, and their peaks would add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass  # another C library
+
+
+#: Bytes of a group after which memory is given back.
+RELEASE_BYTES = 1 << 20
+
+
+def tidied(f):
+    """``f`` for a group or two, with memory given back afterwards where the group was large."""
+
+    def group(table: pa.Table) -> pa.Table:
+        try:
+            return f(table)
+        finally:
+            if table.nbytes > RELEASE_BYTES:
+                released()
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return f(left, right)
+        finally:
+            released()
+
+    return pair if f.__code__.co_argcount == 2 else group
+
+
 def with_row_columns(
     df: DataFrame,
     text: str,
@@ -80,7 +126,10 @@ def with_row_columns(
                 old = [(n, c) for n, c in zip(part.schema.names, part.columns) if n.lower() not in new]
                 arrays = [c for _, c in old] + [v if isinstance(v, pa.Array) else pa.array(v, type=k) for v, k in zip(values, kinds)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in old] + [f.name for f in fields])
+        del apply
+        released()
 
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import slices, stored
+from corvane.llm._common import released, slices, small_batches, stored
 
 #: Words that are clustered, and classes for them.
 CLUSTERED, CLASSES, ROUNDS = 1_000, 64, 6
@@ -85,7 +85,9 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
                 if len(counts) > HELD:
                     yield out()
         yield out()
+        released()
 
+    small_batches(docs.sparkSession)
     found = docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, shape int, n bigint")
     return found.groupBy("word", "shape").agg(F.sum("n").alias("n"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm._common import slices
+from corvane.llm._common import released, slices, small_batches
 
 #: Words of a window.
 WINDOW = 10
@@ -100,6 +100,7 @@ def decontaminate(docs: DataFrame, text: str, items: DataFrame, item_id: str, it
     Columns of ``docs`` named as the new ones are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     size = items.agg(F.sum(F.octet_length(F.col(item_text)))).first()[0] or 0
     passes = max(1, math.ceil(size / pass_bytes))
     new = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", SPANS), T.StructField("hit_items", T.ArrayType(T.StringType()))]
@@ -133,5 +134,7 @@ def _pass(items, text: str, window: int):
                     ids.append(sorted(owners))
                 arrays = [*column.values(), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(ids, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*column, "n_words", "hit_spans", "hit_items"])
+        del finder
+        released()
 
     return run

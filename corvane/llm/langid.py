@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm._common import slices, with_row_columns
+from corvane.llm._common import released, slices, small_batches, with_row_columns
 
 DIMENSIONS, NGRAM, SEED = 1024, 3, 20240229
 #: Labelled documents that prototypes are fitted on, about.
@@ -102,7 +102,10 @@ def fit(docs: DataFrame, text: str, lang: str, key: str, bound: int = FIT_DOCS)
                     if (v := bundler.bundle(t)) is not None:
                         sums[name] = sums.get(name, 0) + v / (np.linalg.norm(v) or 1)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float32()))], names=["lang", "sum"])
+        del bundler
+        released()
 
+    small_batches(docs.sparkSession)
     totals: dict[str, np.ndarray] = {}
     for row in chosen.mapInArrow(run, "lang string, sum array<float>").collect():
         totals[row["lang"]] = totals.get(row["lang"], 0) + np.array(row["sum"], np.float64)

@@ -13,6 +13,7 @@ only where it is the first of its kind and a segment has met another line. The t
 from __future__ import annotations
 
 import math
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import rank_among
+from corvane.llm._common import rank_among, small_batches, tidied
 
 DISTANCE = 2
 #: Code points that a line needs to be compared by edits.
@@ -146,17 +147,16 @@ class Block:
         """Hashes of lines, and per segment: key, line and whether it is the line's own; each with its order by part."""
         digests = [xxhash.xxh3_128_digest(x.encode()) for x in self.line]
         self.hash = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
-        keys, own, lines, start, size = [], [], [], [], []
+        keys, own, lines, start, size = array("Q"), array("B"), array("i"), array("i"), array("i")
         for k, line in enumerate(self.line):
             if len(line) >= self.shortest:
-                found = list(probes(line, self.distance))
-                lines += [k] * len(found)
-                for key, o, s, w in found:
+                for key, o, s, w in probes(line, self.distance):
+                    lines.append(k)
                     keys.append(key)
                     own.append(o)
                     start.append(s)
                     size.append(w)
-        self.key, self.own, self.which = np.array(keys, np.uint64), np.array(own, np.uint8), np.array(lines, np.int64)
+        self.key, self.own, self.which = np.array(keys, np.uint64), np.array(own, np.uint8), np.array(lines, np.int32)
         self.start, self.size = start, size
         self.by_hash = _by_part(self.hash[:, 0], parts)
         self.by_key = _by_part(self.key, parts)
@@ -319,6 +319,8 @@ def without_repeats(docs: DataFrame, doc_id: str, text: str, distance: int = DIS
         removed = [sorted(gone[d]) if d in gone else [] for d in range(len(kept))]
         return pa.table({"doc_id": pa.array(block.ids, pa.int64()), "n_lines": pa.array([len(x) for x in block.lines], pa.int64()), "removed": pa.array(removed, pa.list_(pa.int32())), "kept": pa.array(kept, pa.string())} | {c: left[c].take(block.rows).combine_chunks() for c in carry})
 
+    small_batches(docs.sparkSession)
+    listed, judged, chosen, compared, cut = map(tidied, (listed, judged, chosen, compared, cut))
     flags = by_block.applyInArrow(listed, "part int, block int, payload binary").groupBy("part").applyInArrow(judged, "block int, part int, flags binary")
     sent = by_block.cogroup(flags.groupBy("block")).applyInArrow(chosen, "part int, block int, key bigint, doc int, number int, doc_id bigint, line string, rest string")
     gone = sent.groupBy("part").applyInArrow(compared, "block int, doc int, number int")

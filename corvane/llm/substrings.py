@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import rank_among
+from corvane.llm._common import rank_among, small_batches, tidied
 
 LENGTH = 50
 #: Bytes of an anchor. Longer ones are shared by chance less often, shorter ones are fewer.
@@ -373,6 +373,8 @@ def without_repeats(docs: DataFrame, doc_id: str, text: str, length: int = LENGT
         sizes = np.diff(np.concatenate(([0], block.ends)))
         return pa.table({"doc_id": pa.array(block.ids), "n_bytes": pa.array(sizes, pa.int64()), "removed": pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary())})
 
+    small_batches(docs.sparkSession)
+    listed, met, chosen, arrays, cut = map(tidied, (listed, met, chosen, arrays, cut))
     flags = by_block.applyInArrow(listed, "part int, block int, payload binary").groupBy("part").applyInArrow(met, "block int, part int, flags binary")
     sent = by_block.cogroup(flags.groupBy("block")).applyInArrow(chosen, "part int, block int, payload binary")
     spans = sent.groupBy("part").applyInArrow(arrays, "block int, spans binary")
