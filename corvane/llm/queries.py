@@ -113,6 +113,18 @@ ORACLES = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
             sum(23 + length(role) + length(text) + {_ESCAPES.format("role")} + {_ESCAPES.format("text")})::BIGINT AS formatted_chars, 'messages' AS layout
         FROM c GROUP BY conv_id""",
+    "op5_substrings": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        g AS (SELECT doc_id, i, b[i:i + 49] AS s FROM (SELECT doc_id, b, unnest(range(1, n - 48)) AS i FROM d WHERE n >= 50)),
+        first AS (SELECT s, min(doc_id) AS f FROM g GROUP BY s HAVING min(doc_id) < max(doc_id)),
+        hits AS (SELECT DISTINCT doc_id, i FROM g JOIN first USING (s) WHERE doc_id > f),
+        steps AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM hits),
+        runs AS (SELECT doc_id, min(i) AS a, max(i) + 49 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM steps) GROUP BY doc_id, k),
+        ends AS (SELECT doc_id, coalesce(max(z), 0) + 1 AS p, max(n) AS q, coalesce(sum(z - a + 1), 0) AS n_removed, count(z) AS n_spans FROM d LEFT JOIN runs USING (doc_id) GROUP BY doc_id),
+        parts AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS p, a - 1 AS q FROM runs UNION ALL SELECT doc_id, p, q FROM ends),
+        kept AS (SELECT doc_id, string_agg(hex(b[p:q]), '' ORDER BY p) AS h FROM parts JOIN d USING (doc_id) WHERE q >= p GROUP BY doc_id)
+        SELECT doc_id, n::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+        FROM d JOIN ends USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op8_decontaminate": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ITEM_WORDS}') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ITEM_WORDS}') AS w FROM benchmark),
