@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from urllib.parse import quote_plus
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +91,25 @@ def page_numbers(page: int, pages: int) -> list[int | None]:
     return [x for before, n in zip([0, *shown], shown) for x in ([None, n] if n - before > 1 else [n])]
 
 
+def given(params: Mapping[str, str | Sequence[str]], name: str) -> str:
+    """A request's parameter: the first of several values, empty without one."""
+    value = params.get(name) or ""
+    return value if isinstance(value, str) else value[0]
+
+
+def page_given(text: str) -> int:
+    """The page that a parameter asks for: its leading integer if that is above 0, else 1."""
+    found = re.match(r"\s*\+?([0-9]+)", text)
+    return max(1, int(found[1])) if found else 1
+
+
+def link(base: str, page: int = 1, search: str = "", city: str = "") -> str:
+    """The address of a page of the listing; what is empty or the default is left out."""
+    params = [("search", search), ("city", city), ("page", str(page) if page > 1 else "")]
+    query = "&".join(f"{k}={quote_plus(v, safe='*')}" for k, v in params if v)
+    return f"{base}?{query}" if query else base
+
+
 LISTED = ("id", "name", "category", "city", "address", "rating", "reviews_count", "website", "email", "phone")
 
 
