@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import math
 import tempfile
@@ -19,14 +20,18 @@ from pyspark.sql import types as T
 SLICE_BYTES = 1 << 20
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="corvane-shared-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (tests, one machine), a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="corvane-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_folder()
     return found.rstrip("/")
 
 
