@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
 import gc
-import math
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +24,9 @@ SLICE_BYTES = 1 << 20
 
 @functools.cache
 def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="corvane-shared-")
+    path = tempfile.mkdtemp(prefix="corvane-shared-")
+    atexit.register(shutil.rmtree, path, True)
+    return path
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -144,13 +148,27 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def rank_among(column: str, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are below the column's value, over two levels of about the root of their number."""
-    step = max(1, math.isqrt(len(bounds)))
-    coarse, fine = bounds[::step], [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if not bounds:
-        return F.lit(0)
-    below = lambda values: F.size(F.filter(values, lambda b: b < F.col(column)))
-    literal = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
-    group = below(literal(coarse))
-    return F.when(group == 0, 0).otherwise((group - 1) * step + below(F.element_at(F.array(*[literal(x) for x in fine]), F.greatest(group, F.lit(1))))).cast("int")
+#: Ranges of ids whose text is weighed at most; the driver gets two numbers for each, and the executors as much.
+CELLS = 1 << 18
+
+
+def ranged(rows: DataFrame, id_: str, text: str, target: int, out: str) -> tuple[DataFrame, int]:
+    """``rows`` with the number ``out`` of a range of ids of about ``target`` text bytes, and how many ranges there are.
+
+    Ranges are numbered in order of ids, from 0; null ids are in the first. Ids are cut into even cells, CELLS at most,
+    the cells' texts are weighed, and neighbours are put together; so ids that crowd in few cells make larger ranges.
+    The numbers of cells are the only thing that is broadcast.
+    """
+    least, most = rows.agg(F.min(id_), F.max(id_)).first()
+    if least is None:
+        return rows.withColumn(out, F.lit(0)), 1
+    shift = 0
+    while (most >> shift) - (least >> shift) >= CELLS:
+        shift += 1
+    cell = (F.shiftright(F.col(id_).cast("long"), shift) - F.lit(least >> shift)).cast("int")
+    weighed = rows.where(F.col(id_).isNotNull()).groupBy(cell.alias("_cell")).agg(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")).alias("size")).toArrow().sort_by("_cell")
+    sizes = weighed["size"].to_numpy().astype(np.int64)
+    _, number = np.unique((np.cumsum(sizes) - sizes) // max(1, target), return_inverse=True)
+    table = pa.table({"_cell": weighed["_cell"], out: pa.array(number, pa.int32())})
+    found = rows.withColumn("_cell", cell).join(F.broadcast(rows.sparkSession.createDataFrame(table)), "_cell", "left")
+    return found.withColumn(out, F.coalesce(out, F.lit(0))).drop("_cell"), int(number.max()) + 1

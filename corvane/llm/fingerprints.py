@@ -7,13 +7,11 @@ common hash into both fingerprints. Words are cut after WORD code points, so a t
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm._common import rank_among
+from corvane.llm._common import ranged
 
 K, WINDOW, WORD = 5, 4, 12
 #: Text bytes of a range of ids, about.
@@ -81,19 +79,12 @@ def with_next(docs: DataFrame, doc_id: str, text: str, range_bytes: int = RANGE_
     copied to the end of the range before it, so no range needs another's rows and none holds them all.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows, count = ranged(rows, "doc_id", "text", range_bytes, "_range")
     rows = rows.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    ranges = max(1, math.ceil(size / range_bytes))
-    shares = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(rows.agg(F.percentile_approx("_id", shares, max(10_000, 10 * ranges))).first()[0] or [])) if shares else []
-    rows = rows.withColumn("_range", rank_among("_id", bounds))
-    heads = {r["_range"]: r["head"] for r in rows.groupBy("_range").agg(F.max("_id").alias("head")).collect()}  # a row for each range
-    filled = sorted(heads)
-    before = {r: filled[(i + 1) % len(filled)] for i, r in enumerate(filled)}
-    known = lambda values: F.element_at(F.array(*[F.lit(values.get(r)).cast("long") for r in range(len(bounds) + 1)]), F.col("_range") + 1)
+    heads = rows.groupBy("_range").agg(F.max("_id").alias("_head"))  # a row for each range; none is empty
     own = F.struct(F.col("_range").alias("range"), F.lit(0).alias("copy"))
-    copy = F.struct(known(before).cast("int").alias("range"), F.lit(1).alias("copy"))
-    dealt = rows.select("doc_id", "text", "_id", F.explode(F.when(F.col("_id") == known(heads), F.array(own, copy)).otherwise(F.array(own))).alias("_to"))
+    copy = F.struct(((F.col("_range") + 1) % count).alias("range"), F.lit(1).alias("copy"))
+    dealt = rows.join(F.broadcast(heads), "_range").select("doc_id", "text", "_id", F.explode(F.when(F.col("_id") == F.col("_head"), F.array(own, copy)).otherwise(F.array(own))).alias("_to"))
     dealt = dealt.select("doc_id", "text", "_id", "_to.range", "_to.copy").repartition("range")
     order = Window.partitionBy("range").orderBy("copy", F.col("_id").desc(), "text")
     found = with_fingerprint(dealt, "text", "fingerprint", k, window)

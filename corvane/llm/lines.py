@@ -12,7 +12,6 @@ only where it is the first of its kind and a segment has met another line. The t
 
 from __future__ import annotations
 
-import math
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import rank_among, small_batches, tidied
+from corvane.llm._common import ranged, small_batches, tidied
 
 DISTANCE = 2
 #: Code points that a line needs to be compared by edits.
@@ -248,11 +247,8 @@ def without_repeats(docs: DataFrame, doc_id: str, text: str, distance: int = DIS
     carried = [F.col(f"`{c}`") for c in carry]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carried)
     given = rows.where("doc_id IS NOT NULL")
-    size = given.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = parts = max(1, math.ceil(size / block_bytes))
-    shares = [i / blocks for i in range(1, blocks)]
-    bounds = sorted(set(given.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * blocks))).first()[0] or [])) if shares else []
-    by_block = given.select(rank_among("doc_id", bounds).alias("block"), "doc_id", "text", *carried).groupBy("block")
+    blocked, parts = ranged(given, "doc_id", "text", block_bytes, "block")
+    by_block = blocked.select("block", "doc_id", "text", *carried).groupBy("block")
 
     def loaded(table: pa.Table) -> tuple[int, Block]:
         block = Block(table["doc_id"], table["text"], distance, shortest)

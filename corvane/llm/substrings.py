@@ -20,14 +20,12 @@ second point needs.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import rank_among, small_batches, tidied
+from corvane.llm._common import ranged, small_batches, tidied
 
 LENGTH = 50
 #: Bytes of an anchor. Longer ones are shared by chance less often, shorter ones are fewer.
@@ -285,13 +283,8 @@ def without_repeats(docs: DataFrame, doc_id: str, text: str, length: int = LENGT
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = rows.where("doc_id IS NOT NULL")
-    size = known.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    parts = blocks
-    ranges = [i / blocks for i in range(1, blocks)]
-    bounds = sorted(set(known.agg(F.percentile_approx("doc_id", ranges, max(10_000, 10 * blocks))).first()[0] or [])) if ranges else []
-    blocked = known.select(rank_among("doc_id", bounds).alias("block"), "doc_id", "text")
-    by_block = blocked.groupBy("block")
+    blocked, parts = ranged(known, "doc_id", "text", block_bytes, "block")
+    by_block = blocked.select("block", "doc_id", "text").groupBy("block")
 
     def listed(table: pa.Table) -> pa.Table:
         block = Block(table["doc_id"], table["text"], length, parts)
