@@ -101,5 +101,7 @@ def upsert(existing: DataFrame | None, incoming: DataFrame, batch: int = 500) ->
     found = found.join(stamps, "dedupe_key").withColumn("updated_at", now)
     keys = collapsed.select("dedupe_key").distinct()
     fresh = keys if existing is None else keys.join(existing.select("dedupe_key"), "dedupe_key", "left_anti")
-    counters = incoming.agg(F.count("*").alias("rows")).crossJoin(fresh.agg(F.count("*").alias("inserted"))).select("inserted", (F.col("rows") - F.col("inserted")).alias("updated"))
+    counted = incoming.select(F.lit(1).alias("rows"), F.lit(0).alias("inserted")).unionByName(fresh.select(F.lit(0).alias("rows"), F.lit(1).alias("inserted")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counters = counted.agg(total("inserted").alias("inserted"), (total("rows") - total("inserted")).alias("updated"))
     return found, counters
