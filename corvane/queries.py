@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane import schemas
 from corvane.functions import numbers, text, urls
 from corvane.operators import extract, merge, review
 from corvane.plans import analytics
@@ -321,6 +322,40 @@ def id_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", number.alias("number")).where(F.col("number") > largest + review.OUTLIER)
 
 
+@query("""SELECT doc_id, quality, toxic FROM labels WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')""")
+def orphan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    english = _t(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
+    return schemas.orphans(_t(spark, sf_dir, "labels"), "doc_id", english, "doc_id").select("doc_id", "quality", "toxic")
+
+
+@query("""SELECT DISTINCT o_orderpriority AS value FROM orders WHERE o_orderpriority IS NOT NULL AND o_orderpriority <> ''""")
+def known_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.known(_t(spark, sf_dir, "orders"), "o_orderpriority", "value")
+
+
+@query("""SELECT CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS source_file, (event_id // 100)::INTEGER AS source_page, row_number() OVER (PARTITION BY event_id % 2, event_id // 100 ORDER BY event_id)::INTEGER AS source_row,
+    'e' || event_id AS id, (event_id % 50 / 10.0)::DOUBLE AS rating, CASE WHEN event_id % 3 = 0 THEN NULL ELSE (event_id % 7)::INTEGER END AS reviews_count FROM events""")
+def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    item = F.struct(F.concat(F.lit("e"), e.cast("string")).alias("id"), (e % 50 / 10).cast("decimal(3,1)").alias("rating"), F.when(e % 3 != 0, e % 7).alias("reviews_count"))
+    rows = _t(spark, sf_dir, "events").groupBy(F.when(e % 2 == 0, "left").otherwise("right").alias("source_file"), F.floor(e / 100).cast("int").alias("source_page")).agg(F.array_sort(F.collect_list(F.struct(e.alias("e"), item.alias("i")))).alias("l"))
+    text_ = F.to_json(F.struct(F.lit(1).alias("page"), F.transform("l", lambda x: x["i"]).alias("items")))
+    found = pages.items(rows.select("source_file", "source_page", text_.alias("text")))
+    return found.select("source_file", "source_page", "source_row", "item.id", F.col("item.rating").cast("double").alias("rating"), "item.reviews_count")
+
+
+@query("""SELECT * FROM (VALUES ('dedupe_key', (SELECT count(*) FROM customer WHERE c_custkey % 5 = 0)), ('rating', (SELECT count(*) FROM customer WHERE c_acctbal > 5 OR c_acctbal < 0)), ('unique external_id',
+    (SELECT count(*) FROM (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) > 1)))) AS t(rule, n) WHERE n > 0""")
+def constraint_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, some = F.col("c_custkey"), F.lit("x")
+    key = F.sha2(k.cast("string"), 256)
+    rows = _t(spark, sf_dir, "customer").select(
+        some.alias("name"), some.alias("name_normalized"), some.alias("source_file"), F.lit(1).alias("source_row"), some.alias("raw_data"), F.col("c_acctbal").alias("rating"), F.lit(1).alias("reviews_count"),
+        F.when(k % 5 == 0, k.cast("string")).otherwise(key).alias("dedupe_key"), F.col("c_nationkey").cast("string").alias("external_id"),
+    )
+    return schemas.violations("companies", rows)
+
+
 # -- the audit ----------------------------------------------------------------------------------------------------
 
 
