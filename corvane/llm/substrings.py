@@ -33,7 +33,7 @@ GRAM = 16
 #: Text bytes of a block, about.
 BLOCK_BYTES = 8 << 20
 #: Bytes that are hashed at a time.
-STRIDE = 1 << 18
+STRIDE = 1 << 16
 #: Distinct contexts of an anchor that one suffix array takes.
 HOT = 1 << 15
 
@@ -126,6 +126,7 @@ class Block:
 
     def list(self) -> None:
         self.places, self.anchor, self.left, self.right, context, before, behind = anchors(self.text, self.ends, self.length)
+        self.anchor >>= _U(1)  # the last bit is always set, and parts are dealt by remainders
         self.doc = self.ids[np.searchsorted(self.ends, self.places, side="right")] if len(self.places) else self.places
         self.context, self.first, self.which = np.unique(context, return_index=True, return_inverse=True)
         self.sides = np.stack((before[self.first], behind[self.first]), axis=1)
@@ -186,23 +187,31 @@ def suffix_array(symbols: np.ndarray, rest: np.ndarray, length: int) -> np.ndarr
     That is enough for intervals of strings of up to ``length``: suffixes which an order of whole suffixes would put
     otherwise lie in the same ones.
     """
-    n, bits = len(symbols), max(1, int(symbols.max()).bit_length())
-    done = 63 // bits
+    n, bits, places = len(symbols), max(1, int(symbols.max()).bit_length()), len(symbols).bit_length()
+    done = (64 - places) // bits  # a key and its place in one word sort faster than a key with its places beside it
     key, longest = np.zeros(n, np.uint64), min(length, int(rest.max()) + 1)
+    wide = symbols.astype(np.uint64)
     for i in range(done):
-        key <<= _U(bits)
-        key[: n - i] |= np.where(rest[: n - i] >= i, symbols[i:], 0).astype(np.uint64)
+        key[: n - i] |= wide[i:] << _U(bits * (done - 1 - i))
+    ended = np.array([(1 << bits * done) - (1 << bits * (done - k)) for k in range(done + 1)], np.uint64)
+    key &= ended[np.minimum(rest, done)]  # nothing behind the string's end
+    place, width = np.arange(n, dtype=np.uint64), bits * done
     while True:
-        order = np.argsort(key)
-        key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([1], key[1:] != key[:-1])))
-        if done >= longest or rank[order[-1]] == n:
-            break
-        key = rank.astype(np.uint64) << _U(31)
-        key[: n - done] |= np.where(rest[: n - done] >= done, rank[done:], 0).astype(np.uint64)
-        done *= 2
-    return np.sort(rank << 31 | np.arange(n)) & 0x7FFFFFFF
+        if width + places <= 64:
+            key = np.sort(key << _U(places) | place)
+            order = (key & _U((1 << places) - 1)).astype(np.int64)
+            key >>= _U(places)
+        else:
+            order = np.argsort(key)
+            key = key[order]
+        rank = np.empty(n, np.uint64)
+        rank[order] = ranks = np.cumsum(np.concatenate(([1], key[1:] != key[:-1])), dtype=np.uint64)
+        if done >= longest or ranks[-1] == n:
+            return (np.sort(rank << _U(places) | place) & _U((1 << places) - 1)).astype(np.int64)
+        step, size = min(done, longest - done), int(ranks[-1]).bit_length()
+        key = rank << _U(size)
+        key[: n - step] |= np.where(rest[: n - step] >= step, rank[step:], _U(0))
+        done, width = done + step, 2 * size
 
 
 def separated(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -224,15 +233,20 @@ def separated(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray
     preceding[by_symbol[1:][same]] = by_symbol[:-1][same]
     found = np.zeros(n + 1, bool)
     found[0] = found[n] = True
+    begun = before == 0  # nothing to extend by: neither last nor first of its symbol anywhere
+    following[begun], preceding[begun] = -1, n
     strings = int((symbols == 0).sum())
     low, high = np.array([0]), np.array([n])
     for size in range(length):
         width = high - low
+        single = low[width == 1]
+        lone = to[single[before[single] != 0]]
+        low, high, width = low[width > 1], high[width > 1], width[width > 1]
         total = np.cumsum(width)
-        rows = np.arange(total[-1]) + np.repeat(low - total + width, width)
-        inside = before[rows] != 0
-        last, first = inside & (following[rows] >= np.repeat(high, width)), inside & (preceding[rows] < np.repeat(low, width))
-        new_high, new_low = np.sort(to[rows[last]]) + 1, np.sort(to[rows[first]])
+        rows = np.arange(total[-1] if len(total) else 0) + np.repeat(low - total + width, width)
+        new_high = np.sort(to[rows[following[rows] >= np.repeat(high, width)]]) + 1
+        new_low = np.sort(to[rows[preceding[rows] < np.repeat(low, width)]])
+        new_high, new_low = np.concatenate((new_high, lone + 1)), np.concatenate((new_low, lone))
         if size == 0:  # each string's end is a symbol of its own
             new_low, new_high = np.concatenate((np.arange(strings), new_low)), np.concatenate((np.arange(1, strings + 1), new_high))
         fresh = ~found[new_high]
