@@ -28,7 +28,7 @@ PREFIXES = (4, 5)
 FIT_DOCS, FIT_CHARS = 8_000, 8_000
 #: The bias to start with: a sentence without a telling word is harmless but for one in 20,000, so long texts stay clean.
 START = -10.0
-STEPS, RATE, DECAY = 80, 2.5, 1e-6
+STEPS, RATE, DECAY = 140, 2.5, 1e-6
 #: Squared slope that each weight starts with: words of a few documents move little, those of many soon.
 RESERVE = 400.0
 #: Sentences that a feature must be in to be learnt.
