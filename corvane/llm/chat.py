@@ -189,8 +189,8 @@ def read_back(df: DataFrame, formatted: str = "formatted") -> DataFrame:
 
 def masked_text(df: DataFrame, formatted: str = "formatted", mask: str = "loss_mask", out: str = "loss_text") -> DataFrame:
     """``df`` with the unescaped text that lies under the loss mask, span after span with nothing between."""
-    both = df.withColumn("_both", F.struct(F.col(formatted).alias("f"), F.col(mask).alias("m")))
-    packed = both.withColumn("_both", F.when(F.col(formatted).isNotNull(), F.to_json("_both")))
+    both = df.withColumn("__chat_both", F.struct(F.col(formatted).alias("f"), F.col(mask).alias("m")))
+    packed = both.withColumn("__chat_both", F.when(F.col(formatted).isNotNull(), F.to_json("__chat_both")))
 
     def one(value: str | None) -> str | None:
         if value is None:
@@ -198,7 +198,7 @@ def masked_text(df: DataFrame, formatted: str = "formatted", mask: str = "loss_m
         x = json.loads(value)
         return "".join(unescape(x["f"][s["start"] : s["end"]]) for s in x.get("m", []))
 
-    return with_row_columns(packed, "_both", [T.StructField(out, T.StringType())], lambda: lambda values: [[one(v) for v in values]]).drop("_both")
+    return with_row_columns(packed, "__chat_both", [T.StructField(out, T.StringType())], lambda: lambda values: [[one(v) for v in values]]).drop("__chat_both")
 
 
 def gathered(rows: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:

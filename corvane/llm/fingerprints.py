@@ -57,9 +57,9 @@ def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, window: int
 
     A column named ``out`` is replaced. Each step is a column of its own, so that none is computed twice.
     """
-    df = df.withColumn("_w", words(F.col(text))).withColumn("_g", hashes(F.col("_w"), k)).drop("_w").withColumn("_p", winnow(F.col("_g"), window))
-    kept = F.transform("_p", lambda p: F.get(F.col("_g"), p))
-    return df.withColumn(out, F.struct(kept.alias("hashes"), F.col("_p").alias("places"))).drop("_g", "_p")
+    df = df.withColumn("__winnow_w", words(F.col(text))).withColumn("__winnow_g", hashes(F.col("__winnow_w"), k)).drop("__winnow_w").withColumn("__winnow_p", winnow(F.col("__winnow_g"), window))
+    kept = F.transform("__winnow_p", lambda p: F.get(F.col("__winnow_g"), p))
+    return df.withColumn(out, F.struct(kept.alias("hashes"), F.col("__winnow_p").alias("places"))).drop("__winnow_g", "__winnow_p")
 
 
 def likeness(a: Column, b: Column) -> Column:

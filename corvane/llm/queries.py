@@ -14,6 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(modulus: int, rest: int) -> Column:
+    """Documents that nothing is learnt from; one without an id is none of them, and nothing is learnt from it either."""
+    return F.coalesce(remainder("doc_id", modulus) == rest, F.lit(False)).alias("held_out")
+
+
 def _sha(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)
 
@@ -57,7 +62,7 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = brown.fit(docs.where(remainder("doc_id", 7) != 2), "text")
-    found = brown.score(docs.select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out")), "text", model)
+    found = brown.score(docs.select("doc_id", "text", _held_out(7, 2)), "text", model)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -86,7 +91,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     prototypes = langid.fit(docs.where(remainder("doc_id", 4) != 2), "text", "lang", "doc_id")
-    found = langid.predict(docs.select("doc_id", "text", (remainder("doc_id", 4) == 2).alias("held_out")), "text", prototypes)
+    found = langid.predict(docs.select("doc_id", "text", _held_out(4, 2)), "text", prototypes)
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
@@ -94,7 +99,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, "doc_id", "text", _table(spark, sf_dir, "labels"), "doc_id", "toxic", lambda c: remainder(c, 3) != 1)
     found = toxicity.score(docs, "text", model)
-    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+    return found.select("doc_id", _held_out(3, 1), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_chat_format, op4_simhash, op5_substrings, op6_brown_lm, op7_winnowing, op8_decontaminate, op9_langid, op10_toxicity)}

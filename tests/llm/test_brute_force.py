@@ -32,7 +32,7 @@ def docs(spark):
     """Repeated rows, a null id, clashing names, an unordered spread."""
     rows = [(i, t, "en" if i % 3 else None, f"s{i % 2}") for i, t in enumerate(texts())]
     rows += [rows[-1], (None, "a text without an id", "de", "s1"), (None, None, None, None)]
-    clash = ["token_ids", "n_words", "fingerprint_bits", "lang_pred", "toxicity", "decoded"]
+    clash = ["token_ids", "n_words", "hit_items", "fingerprint_bits", "component_id", "lang_pred", "score", "toxicity", "offending", "decoded", "fingerprint", "_w", "block", "size"]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
     return frame.withColumns({c: F.lit("old") for c in clash})
 
@@ -366,6 +366,13 @@ def test_next_documents(docs, empty):
     assert fingerprints.with_next(empty, "doc_id", "text").collect() == []
 
 
+def test_other_columns_stay(docs):
+    found = fingerprints.with_fingerprint(docs, "text", "fingerprint")
+    assert found.where("_w = 'old' AND block = 'old'").count() == docs.count() and "hashes" in found.select("fingerprint.*").columns
+    for made in (bpe.encode(docs, "text", PATH, public_tokenizers.PATTERN), toxicity.score(docs, "text", toxicity.Model(np.zeros(1 << toxicity.BITS, np.float32), -9.0)), langid.predict(docs, "text", {})):
+        assert set(docs.columns) <= set(made.columns) and made.where("_w = 'old'").count() == docs.count()
+
+
 def test_equal_texts_and_likeness(docs):
     found = fingerprints.with_fingerprint(docs.select("doc_id", "text"), "text", "f").collect()
     by_text = collections.defaultdict(set)
