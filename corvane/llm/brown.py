@@ -1,12 +1,14 @@
 """Language-model scoring with Brown class-based bigrams.
 
 The most frequent words are put into classes by exchange: word after word moves to the class that makes the training
-bigrams likeliest. All other words belong to classes by their shape, so the class of a word needs no table that grows
-with the corpus. A text's probability is the product, over its words and an end, of the transition from class to class
-and the emission of the word by its class; both are smoothed, and each class of shapes keeps a share for unseen words.
-
-All counts cover all training documents. Emissions of the KNOWN most frequent words go to the executors, those of
-other words are joined.
+bigrams likeliest. Every other word that occurs at least twice then joins the class in which it gains most, judged by
+its counts before and after each class, which are gathered word by word. Words that occur once belong to classes by
+their shape, as do the unseen ones they stand for. A text's probability is the product, over its words and an end, of
+the transition from class to class and the emission of the word by its class; both are smoothed, and each class of
+shapes keeps a share for unseen words.
+
+All counts cover all training documents. Classes and emissions of the KNOWN most frequent words go to the executors,
+those of other words are joined.
 """
 
 from __future__ import annotations
@@ -17,17 +19,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm._common import released, slices, small_batches, stored
 
-#: Words that are clustered, and classes for them.
-CLUSTERED, CLASSES, ROUNDS = 1_000, 64, 6
+#: Words that are clustered by exchange before all others join their classes, and classes for them.
+SEEDS, CLASSES, ROUNDS = 1_000, 64, 6
+#: How often a word has to occur to be put into a class; those that occur once stand for the unseen.
+LEAST = 2
 #: Words of WORD_BYTES at most whose counts are sent to the executors.
 KNOWN, WORD_BYTES = 100_000, 64
 #: Distinct words or bigrams that a task counts before it passes them on.
 HELD = 200_000
+#: Contexts that a task holds before it passes their counts on; rows that are judged at a time, and words whose gains are held.
+EVENTS, ROWS, WORDS = 1 << 22, 1 << 12, 1 << 8
 #: Weight of a class's overall frequency in each transition.
 PRIOR = 8.0
 
@@ -92,32 +99,202 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     return found.groupBy("word", "shape").agg(F.sum("n").alias("n"))
 
 
-def count_bigrams(docs: DataFrame, text: str, clustered: list[bytes]) -> np.ndarray:
-    """Bigrams of symbols: the clustered words, the shapes of others, and the edge of a text. The driver gets a count for
-    each pair of symbols at most."""
-    size = len(clustered) + SHAPES + 1
+def encoded(docs: DataFrame, text: str, known: list[bytes]) -> DataFrame:
+    """(codes, rare) of each text: a word's place among ``known`` or their number plus its shape, and the words of the
+    latter kind in their order."""
+    names = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, edge, total = Codes(clustered), [size - 1], np.zeros(size * size, np.int64)
+        codes, first = Codes(names.value), len(names.value)
         code = codes.__getitem__
         for batch in batches:
             for part in slices(batch, "text"):
-                line = list(edge)
+                lines, rare = [], []
                 for value in part.column(0).to_pylist():
-                    line += map(code, words(value))
-                    line += edge
-                line = np.array(line, np.int64)
-                at, n = np.unique(line[:-1] * size + line[1:], return_counts=True)
+                    own = words(value)
+                    line = np.array(list(map(code, own)), np.int32)
+                    lines.append(line.tobytes())
+                    rare.append([own[i].decode() for i in np.flatnonzero(line >= first).tolist()])
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()), pa.array(rare, pa.list_(pa.string()))], names=["codes", "rare"])
+        released()
+
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "codes binary, rare array<string>")
+
+
+def _line(part: pa.RecordBatch, edge: int) -> np.ndarray:
+    """The codes of all texts with an edge before, between and after them."""
+    edges = np.int32(edge).tobytes()
+    return np.frombuffer(edges + edges.join(part.column(part.schema.get_field_index("codes")).to_pylist()) + edges, np.int32)
+
+
+def count_pairs(coded: DataFrame, symbols: np.ndarray, size: int) -> np.ndarray:
+    """Bigrams of symbols, which ``symbols`` has for each code, the edge last; pairs with a negative symbol are left out.
+    The driver gets a count for each pair of symbols at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for batch in batches:
+            for part in slices(batch, "codes"):
+                line = symbols[_line(part, len(symbols) - 1)].astype(np.int64)
+                pair = (line[:-1] * size + line[1:])[(line[:-1] >= 0) & (line[1:] >= 0)]
+                at, n = np.unique(pair, return_counts=True)
                 total[at] += n
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["pair", "n"])
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    return _matrix(coded.select("codes").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")), size)
+
+
+def _matrix(pairs: DataFrame, size: int) -> np.ndarray:
+    rows = pairs.toArrow()
     out = np.zeros(size * size, np.float64)
     out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(size, size)
 
 
+def contexts(coded: DataFrame, known: list[bytes], seeds: int, symbols: np.ndarray, size: int) -> DataFrame:
+    """(word, counts) of all words but the seeds: how often each symbol follows, goes before (plus ``size``), or the word
+    follows itself (2 * ``size``); n << 16 | context. Tasks count before anything is shuffled; a word may have several rows."""
+    names, edge, width = coded.sparkSession.sparkContext.broadcast([w.decode() for w in known]), len(symbols) - 1, 2 * size + 1
+    first = len(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local: dict[str, int] = {}
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            word, context = np.divmod(keys, width)
+            start = np.flatnonzero(np.diff(word, prepend=-1))
+            others = list(local)
+            texts = [names.value[i] if i < first else others[i - edge - 1] for i in word[start].tolist()]
+            data = n.astype(np.uint64) << np.uint64(16) | context.astype(np.uint64)
+            ends = (np.append(start, len(word)) * 8).astype(np.int32)
+            held.clear()
+            local.clear()
+            return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data)])], names=["word", "counts"])
+
+        for batch in batches:
+            for part in slices(batch, "codes"):
+                line = _line(part, edge).astype(np.int64)
+                symbol = symbols[line]
+                rare = part.column(part.schema.get_field_index("rare")).flatten().to_pylist()
+                line[(line >= first) & (line < edge)] = [edge + 1 + local.setdefault(w, len(local)) for w in rare]
+                at = np.flatnonzero((line >= seeds) & (line != edge))
+                here, other = line[at], line[at - 1] != line[at]
+                held.append(here * width + np.where(line[at + 1] == here, 2 * size, symbol[at + 1]))
+                held.append((here * width + size + symbol[at - 1])[other])
+                if len(local) > HELD or sum(map(len, held)) > EVENTS:
+                    yield out()
+        if held:
+            yield out()
+        released()
+
+    return coded.mapInArrow(run, "word string, counts binary")
+
+
+def gains(table: np.ndarray, classes: int, own: np.ndarray, word: np.ndarray, context: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What the log likelihood of the class bigrams ``table`` gains if a word leaves its class ``own`` for each of ``classes``,
+    up to a constant of the word. ``word`` (numbers), ``context`` (as in ``contexts``) and ``n`` are the counts of several words."""
+    size, m = len(table), len(own)
+    dense = np.zeros((m, 2 * size + 1))
+    dense[word, context] = n
+    after, before, twice = dense[:, :size], dense[:, size : 2 * size], dense[:, 2 * size :]
+    follow, precede = after.sum(1, keepdims=True) + twice, before.sum(1, keepdims=True) + twice
+    out = np.zeros((m, classes))
+    for counts, other, there in ((after, before, table[:classes]), (before, after, table[:, :classes].T)):
+        w, j = np.nonzero(counts)
+        if not len(w):
+            continue
+        base = there.T[j]
+        left = j == own[w]
+        base[left] -= other[w[left], :classes]  # the word itself is no longer there
+        start = np.flatnonzero(np.diff(w, prepend=-1))
+        out[w[start]] += np.add.reduceat(_f(base + counts[w, j][:, None]) - _f(base), start)
+    middle, rows, columns = table.diagonal()[:classes], table.sum(1)[:classes], table.sum(0)[:classes]
+    after, before = after[:, :classes], before[:, :classes]
+    out -= _f(middle + after) + _f(middle + before) - _f(middle)
+    out += _f(middle + after + before + twice)
+    return out - _f(rows + follow) + _f(rows) - _f(columns + precede) + _f(columns)
+
+
+def placed(found: DataFrame, known: list[bytes], table: np.ndarray, classes: int, least: int) -> DataFrame:
+    """(word, n, class, code) from ``contexts``: words that occur ``least`` times are put into the class that gains most,
+    others into that of their shape; code is the place among ``known``, or -1."""
+    size = len(table)
+    names = found.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(known)})
+
+    def judged(rows: pa.Table) -> pa.RecordBatch:
+        column = rows["word"].combine_chunks()
+        texts, counts = column.to_pylist(), rows["counts"].to_pylist()
+        new = np.array([True] + [a != b for a, b in zip(texts, texts[1:])])
+        number = np.cumsum(new) - 1
+        own = [w.encode() for w, x in zip(texts, new.tolist()) if x]
+        data = np.frombuffer(b"".join(counts), np.uint64)
+        key = np.repeat(number, [len(c) // 8 for c in counts]) * (2 * size + 1) + (data & np.uint64(0xFFFF)).astype(np.int64)
+        key, at = np.unique(key, return_inverse=True)
+        n = np.bincount(at, (data >> np.uint64(16)).astype(np.float64))
+        word, context = np.divmod(key, 2 * size + 1)
+        totals = np.bincount(word, np.where((context < size) | (context == 2 * size), n, 0), len(own))  # each word has one that follows
+        of = classes + np.array([shape(w) for w in own])
+        often = np.flatnonzero(totals >= least)
+        start = np.searchsorted(word, np.arange(len(own) + 1))
+        for k in range(0, len(often), WORDS):
+            some = often[k : k + WORDS]
+            mine = np.concatenate([np.arange(start[i], start[i + 1]) for i in some])
+            of[some] = gains(table, classes, of[some], np.repeat(np.arange(len(some)), start[some + 1] - start[some]), context[mine], n[mine]).argmax(1)
+        code = [names.value.get(w, -1) for w in own]
+        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in own], pa.string()), pa.array(totals.astype(np.int64)), pa.array(of.astype(np.int32)), pa.array(code, pa.int32())], names=["word", "n", "class", "code"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= ROWS:
+                rows = pa.Table.from_batches(held)
+                last = rows["word"][-1].as_py()
+                texts, end = rows["word"], rows.num_rows
+                while end and texts[end - 1].as_py() == last:  # may go on in the next batch
+                    end -= 1
+                if end:
+                    yield judged(rows.slice(0, end))
+                    held = rows.slice(end).to_batches()
+        if sum(b.num_rows for b in held):
+            yield judged(pa.Table.from_batches(held))
+        released()
+
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, n bigint, class int, code int")
+
+
+def _met(entries: DataFrame, vocabulary: DataFrame, classes: int) -> DataFrame:
+    """(_row, left, class, next, n) of words that are not sent to the executors: their class and count, the class before
+    (-1 if that is such a word too) and the class after. Unseen words have n = 0 and the class of their shape."""
+    found = entries.join(vocabulary.select("word", "n", "class"), "word", "left")
+    found = found.select("_row", "place", "left", "right", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", _shape_of(F.col("word")) + classes).alias("class"))
+    later = F.lead("class").over(Window.partitionBy("_row").orderBy("place"))
+    return found.select("_row", "left", "class", F.when(F.col("right") >= 0, F.col("right")).otherwise(later).alias("next"), "n")
+
+
+def count_rare_pairs(coded: DataFrame, vocabulary: DataFrame, symbols: np.ndarray, size: int) -> np.ndarray:
+    """Bigrams of classes that ``count_pairs`` leaves out, as one of the words has its class in ``vocabulary``."""
+    first, edge, brown = len(symbols) - 1 - SHAPES, len(symbols) - 1, size - SHAPES - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "codes"):
+                line = _line(part, edge)
+                at = np.flatnonzero((line >= first) & (line < edge))
+                row = np.repeat(part.column(part.schema.get_field_index("_row")).to_numpy(), pc.list_value_length(part.column(part.schema.get_field_index("rare"))).to_numpy())
+                arrays = [pa.array(row), part.column(part.schema.get_field_index("rare")).flatten(), pa.array(at, pa.int64()), pa.array(symbols[line[at - 1]], pa.int32()), pa.array(symbols[line[at + 1]], pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["_row", "word", "place", "left", "right"])
+
+    entries = coded.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(run, "_row bigint, word string, place bigint, left int, right int")
+    met = _met(entries, vocabulary, brown)
+    pairs = F.array(F.when(F.col("left") >= 0, F.col("left") * size + F.col("class")), F.col("class") * size + F.col("next"))
+    return _matrix(met.select(F.explode(pairs).alias("pair")).where("pair IS NOT NULL").groupBy(F.col("pair").cast("long").alias("pair")).agg(F.count("*").alias("n")), size)
+
+
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -163,45 +340,58 @@ def exchange(bigrams: np.ndarray, clustered: int, classes: int = CLASSES, rounds
 
 @dataclass
 class Model:
-    """``known`` words with count, class and emission; shapes' classes and sizes; transitions; the corpus's totals."""
+    """``known`` words with count, class and emission; sizes of classes; transitions; the corpus's totals; all other words."""
 
     known: list[bytes]
     counts: np.ndarray
-    classes: np.ndarray  # of the known words, then of the shapes, then of the edge
+    classes: np.ndarray  # of the known words, then -1 for the shapes of others, then of the edge
     emissions: np.ndarray  # log10, of the known words
-    shape_sizes: np.ndarray  # tokens + types + 1
+    sizes: np.ndarray  # of each class: tokens; of shapes' classes: tokens + types + 1
     transitions: np.ndarray  # log10
     documents: int
     tokens: int
     types: int
-    vocabulary: DataFrame
+    vocabulary: DataFrame  # word, n, class of those that are not known
+
 
+def fit(docs: DataFrame, text: str, clustered: int | None = None, classes: int = CLASSES, known: int = KNOWN, seeds: int = SEEDS, least: int = LEAST) -> Model:
+    """A model of all documents. Equally frequent words rank by themselves; a null text is empty.
 
-def fit(docs: DataFrame, text: str, clustered: int = CLUSTERED, classes: int = CLASSES, known: int = KNOWN) -> Model:
-    """A model of all documents. Equally frequent words rank by themselves; a null text is empty."""
+    The ``seeds`` most frequent words are clustered by exchange; each other word that occurs ``least`` times then joins
+    the class in which it makes the bigrams likeliest, and the transitions are counted anew with all of them. If
+    ``clustered`` is given, only so many words are put into classes.
+    """
     vocabulary = stored(count_words(docs, text), "vocabulary")
     documents = docs.count()
-    sums = {r["shape"]: (r["n"], r["types"]) for r in vocabulary.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}
+    all_tokens, all_types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = vocabulary.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.col("n").desc(), "word").limit(known).toArrow()
     names = [w.encode() for w in top["word"].to_pylist()]
     counts, shapes = top["n"].to_numpy().astype(np.int64), top["shape"].to_numpy()
-    head = min(clustered, len(names))
-    bigrams = count_bigrams(docs, text, names[:head])
-    of = exchange(bigrams, head, min(classes, max(1, head)))
-    k = int(of.max()) + 1
-    member = np.zeros((len(of), k))
-    member[np.arange(len(of)), of] = 1
-    table = member.T @ bigrams @ member
+    head = min(seeds if clustered is None else clustered, len(names))
+    coded = stored(encoded(docs, text, names), "coded")
+    symbols = np.concatenate((np.arange(head), head + shapes[head:], head + np.arange(SHAPES + 1))).astype(np.int32)
+    bigrams = count_pairs(coded, symbols, head + SHAPES + 1)
+    brown = min(classes, max(1, head))
+    of = exchange(bigrams, head, brown)
+    k = brown + SHAPES + 1
+    own = of[symbols].astype(np.int32)
+    if clustered is None:
+        member = np.eye(k)[of]
+        found = stored(placed(contexts(coded, names, head, own, k), names, member.T @ bigrams @ member, brown, least), "classed")
+        rows = found.where("code >= 0").select("code", "class").toArrow()
+        own[rows["code"].to_numpy()] = rows["class"].to_numpy()
+        others = found.where("code < 0").select("word", "n", "class")
+    else:
+        others = vocabulary.join(docs.sparkSession.createDataFrame(top.select(["word"])), "word", "left_anti").select("word", "n", (F.col("shape") + brown).alias("class"))
+    sizes = np.bincount(own[: len(names)], counts + (own[: len(names)] >= brown), k) + (np.arange(k) >= brown)
+    for r in others.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
+        sizes[r["class"]] += r["n"] + (r["types"] if r["class"] >= brown else 0)
+    own[len(names) : -1] = -1
+    table = count_pairs(coded, own, k) + count_rare_pairs(coded, others, own, k)
     overall = (table.sum(0) + 1) / (table.sum() + k)
     transitions = np.log10((table + PRIOR * overall) / (table.sum(1, keepdims=True) + PRIOR))
-    size = np.array([sum(sums.get(s, (0, 0))) + 1 for s in range(SHAPES)], np.float64)
-    np.subtract.at(size, shapes[:head], counts[:head] + 1)  # clustered words have left their shapes
-    in_class = np.bincount(of[:head], counts[:head], k)
-    emissions = np.log10(np.concatenate((counts[:head] / in_class[of[:head]], (counts[head:] + 1) / size[shapes[head:]])))
-    whole = np.concatenate((of[:head], of[head + shapes[head:]], of[head:]))
-    tokens = sum(n for n, _ in sums.values()) + documents
-    types = sum(t for _, t in sums.values()) + (documents > 0)
-    return Model(names, counts, whole, emissions, size, transitions, documents, int(tokens), int(types), vocabulary)
+    emissions = np.log10((counts + (own[: len(names)] >= brown)) / sizes[own[: len(names)]])
+    return Model(names, counts, own, emissions, sizes, transitions, documents, int(all_tokens) + documents, int(all_types) + (documents > 0), others)
 
 
 def score(docs: DataFrame, text: str, model: Model) -> DataFrame:
@@ -232,24 +422,29 @@ def score(docs: DataFrame, text: str, model: Model) -> DataFrame:
                     inner = line[1:-1]
                     path = classes[line]
                     seen = int((inner < count).sum())
-                    rare = Counter([own[i] for i in np.flatnonzero(inner >= count).tolist()])
-                    rows.append((len(own) + 1, seen + ended, base[inner].sum() + end - total * (len(own) + 1), transitions[path[:-1], path[1:]].sum() + emitted[inner].sum(), [{"word": w.decode(), "n": n} for w, n in rare.items()]))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
+                    rare = [{"word": own[i].decode(), "place": i, "left": path[i], "right": path[i + 2]} for i in np.flatnonzero(inner >= count).tolist()]
+                    both = (path[:-1] >= 0) & (path[1:] >= 0)
+                    rows.append((len(own) + 1, seen + ended, base[inner].sum() + end - total * (len(own) + 1), transitions[path[:-1][both], path[1:][both]].sum() + emitted[inner].sum(), rare))
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.string()), ("place", pa.int32()), ("left", pa.int32()), ("right", pa.int32())])))
                 arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*column.values(), *arrays], names=[*column, *new, "_rare"])
 
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_tokens bigint, n_known bigint, base_score double, score double, _rare array<struct<word:string,n:bigint>>"])
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_tokens bigint, n_known bigint, base_score double, score double, _rare array<struct<word:string,place:int,left:int,right:int>>"])
     partial = docs.select(*[F.col(f"`{c}`") for c in keep], text).mapInArrow(run, schema)
     partial = stored(partial.withColumn("_row", F.monotonically_increasing_id()), "scored")
-    rare = partial.select("_row", F.explode("_rare").alias("r")).select("_row", "r.word", F.col("r.n").alias("times")).join(model.vocabulary.select("word", "n"), "word", "left")
-    shapes = F.array(*[F.lit(float(x)) for x in model.shape_sizes])
-    found = rare.withColumn("n", F.coalesce("n", F.lit(0)))
-    found = found.withColumn("_shape", _shape_of(F.col("word")))
-    found = found.groupBy("_row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("base"),
-        F.sum(F.col("times") * F.log10((F.col("n") + 1.0) / F.get(shapes, F.col("_shape")))).alias("emitted"),
-    )
+    brown = len(model.sizes) - SHAPES - 1
+    moves = docs.sparkSession.sparkContext.broadcast((model.sizes, model.transitions))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, transitions = moves.value
+        for batch in batches:
+            row, left, of, later, n = (batch.column(i).to_numpy() for i in range(5))
+            emitted = np.log10((n + (of >= brown)) / sizes[of]) + transitions[of, later] + np.where(left >= 0, transitions[left, of], 0)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array((n > 0).astype(np.int64)), pa.array(np.log10(n + 1.0)), pa.array(emitted)], names=["_row", "known", "base", "emitted"])
+
+    rare = partial.select("_row", F.explode("_rare").alias("r")).select("_row", "r.*")
+    met = _met(rare, model.vocabulary, brown).mapInArrow(weighed, "_row bigint, known bigint, base double, emitted double")
+    found = met.groupBy("_row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("emitted").alias("emitted"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return partial.join(found, "_row", "left").select(
         *[F.col(f"`{c}`") for c in keep], "n_tokens", (F.col("n_known") + zero("known")).alias("n_known"),

@@ -334,6 +334,56 @@ def test_exchange_finds_classes():
     assert len({*of[[0, 2, 4]]}) == len({*of[[1, 3, 5]]}) == 1 and of[0] != of[1]
 
 
+def test_gains_are_those_of_the_likelihood():
+    classes, seeds, size = 4, 12, 6  # two further classes, of the words 12 to 29
+    rng = np.random.default_rng(5)
+    bigrams = rng.poisson(0.7, (30, 30)).astype(float)
+    of = np.concatenate((np.arange(seeds) % classes, classes + np.arange(30 - seeds) % 2))
+
+    def table(of):
+        return np.eye(size)[of].T @ bigrams @ np.eye(size)[of]
+
+    def likelihood(of):
+        t = table(of)
+        return brown._f(t).sum() - brown._f(t.sum(0)).sum() - brown._f(t.sum(1)).sum()
+
+    rows = [(w, c, bigrams[w, x] if d == 0 else bigrams[x, w]) for w in range(seeds, 30) for x in range(30) for d, c in ((0, of[x]), (1, size + of[x])) if x != w]
+    rows += [(w, 2 * size, bigrams[w, w]) for w in range(seeds, 30)]
+    counts = collections.Counter()
+    for w, c, n in rows:
+        counts[w - seeds, c] += n
+    word, context = np.array(sorted(counts)).T
+    found = brown.gains(table(of), classes, of[seeds:], word, context, np.array([counts[k] for k in sorted(counts)]))
+    for w in range(seeds, 30):
+        want = np.array([likelihood(np.concatenate((of[:w], [c], of[w + 1 :]))) for c in range(classes)])
+        assert np.allclose(found[w - seeds] - found[w - seeds][0], want - want[0])
+
+
+def test_all_repeated_words_are_classed(docs):
+    train = docs.where("doc_id % 3 <> 0")
+    counts = collections.Counter(w for r in train.collect() for w in brown.words(r.text))
+    scores = []
+    for known in (1000, 3):  # where a class is looked up changes nothing
+        model = brown.fit(train, "text", classes=2, seeds=3, known=known)
+        of = dict(zip(model.known, model.classes.tolist())) | {r.word.encode(): r["class"] for r in model.vocabulary.collect()}
+        assert len(model.known) <= known and of.keys() == counts.keys()
+        assert all((c < 2) == (counts[w] > 1) and (c < 2 or c == 2 + brown.shape(w)) for w, c in of.items()) and sum(c < 2 for c in of.values()) > 3
+        assert all(model.sizes[c] == sum(counts[w] for w in of if of[w] == c) for c in range(2)) and np.allclose((10.0**model.transitions).sum(1), 1)
+        table = np.zeros((len(model.sizes),) * 2)
+        for r in train.collect():
+            path = [len(table) - 1, *(of[w] for w in brown.words(r.text)), len(table) - 1]
+            np.add.at(table, (path[:-1], path[1:]), 1)
+        overall = (table.sum(0) + 1) / (table.sum() + len(table))
+        assert np.allclose(10.0**model.transitions, (table + brown.PRIOR * overall) / (table.sum(1, keepdims=True) + brown.PRIOR))
+        scores.append({r.doc_id: r.score for r in brown.score(docs, "text", model).collect() if r.doc_id is not None})
+        for r in docs.where("doc_id IS NOT NULL").collect():
+            own = brown.words(r.text)
+            path = [len(table) - 1, *(of.get(w, 2 + brown.shape(w)) for w in own), len(table) - 1]
+            want = sum(model.transitions[a, b] for a, b in zip(path, path[1:])) + sum(math.log10((counts[w] + (c > 1)) / model.sizes[c]) for w, c in zip(own, path[1:]))
+            assert math.isclose(scores[-1][r.doc_id], want, rel_tol=1e-9, abs_tol=1e-9)
+    assert all(math.isclose(s, scores[1][i], rel_tol=1e-9) for i, s in scores[0].items())
+
+
 def test_shapes_agree(spark):
     words = ["a", "abcdef", "abcdefghijk", "é", "éabcdef", "a.", "é.", "12", "a1", "--", "a-", "日本"]
     frame = spark.createDataFrame([(w,) for w in words], "w string")
