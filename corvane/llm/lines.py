@@ -205,27 +205,32 @@ def later_alike(members: list[Member], distance: int, group: int = GROUP) -> set
     """Places of lines within ``distance`` of a line that stands earlier, among lines that met in one segment.
 
     Large groups meet again in what they have beside the segment, which is within the same distance: its segments are
-    probed in the same way, so no more pairs are compared than share those too.
+    probed in the same way, so no more pairs are compared than share those too. A line that has the segment at several
+    starts is a member with each of the rests, as only one of them may be close to the other line's.
     """
-    members = sorted(members, key=lambda m: m[0])
+    places: dict[tuple[int, int], tuple[str, bool]] = {}
+    for place, line, _, own in sorted(members, key=lambda m: m[0]):
+        places[place] = (line, own or place in places and places[place][1])
+    lines = [(place, *x) for place, x in places.items()]
     out: set[tuple[int, int]] = set()
-    if len(members) <= group:
-        for k, (place, line, _, own) in enumerate(members):
-            for _, other, _, owner in members[:k]:
+    if len(lines) <= group:
+        for k, (place, line, own) in enumerate(lines):
+            for _, other, owner in lines[:k]:
                 if (own or owner) and other != line and within(line, other, distance):
                     out.add(place)
                     break
         return out
     if max(len(rest) for _, _, rest, _ in members) <= 4 * (distance + 1):  # all but alike: the earliest one settles most
-        for k, (place, line, _, _) in enumerate(members):
-            if any(other != line and within(line, other, distance) for _, other, _, _ in members[:k]):
+        for k, (place, line, _) in enumerate(lines):
+            if any(other != line and within(line, other, distance) for _, other, _ in lines[:k]):
                 out.add(place)
         return out
-    again: dict[int, dict[tuple[int, int], Member]] = defaultdict(dict)
+    again: dict[int, dict[tuple, Member]] = defaultdict(dict)
     for place, line, rest, _ in members:
         for key, own, start, size in probes(rest, distance):
-            if place not in again[key] or own:
-                again[key][place] = (place, line, rest[:start] + "\0" + rest[start + size :], own)
+            left = rest[:start] + "\0" + rest[start + size :]
+            if (place, left) not in again[key] or own:
+                again[key][place, left] = (place, line, left, own)
     for own_members in again.values():
         if len(own_members) > 1 and any(m[3] for m in own_members.values()):
             out |= later_alike(list(own_members.values()), distance, group)
@@ -295,11 +300,12 @@ def without_repeats(docs: DataFrame, doc_id: str, text: str, distance: int = DIS
     def compared(table: pa.Table) -> pa.Table:
         if table["part"][0].as_py() < 0:
             return table.select(["block", "doc", "number"])
-        groups: dict[int, dict[tuple[int, int], tuple]] = defaultdict(dict)
+        groups: dict[int, dict[tuple, tuple]] = defaultdict(dict)
         for block, key, doc, number, doc_id_, line, rest in zip(*(table[c].to_pylist() for c in ("block", "key", "doc", "number", "doc_id", "line", "rest"))):
             own, place = rest[0] != "\1", (block, doc, number)
-            if place not in groups[key] or own:
-                groups[key][place] = (place, line, rest if own else rest[1:], own)
+            rest = rest if own else rest[1:]
+            if (place, rest) not in groups[key] or own:
+                groups[key][place, rest] = (place, line, rest, own)
         out: set = set()
         for members in groups.values():
             out |= later_alike(list(members.values()), distance)

@@ -119,6 +119,13 @@ def test_crowded_segments():
         assert found == {p for k, (p, t) in enumerate(rows) if any(x != t and edits(x, t) <= 2 for _, x in rows[:k])}
 
 
+def test_crowded_periodic_segments(spark):
+    pair = ["abcdefg" + "-" * 18 + "hijklmn", "abXcdefg" + "-" * 18 + "hijkmn"]  # meet in the dashes only, at several starts
+    crowd = ["".join(RNG.choices("opqrstuvwyz", k=7)) + "-" * 18 + "".join(RNG.choices("opqrstuvwyz", k=7)) for _ in range(lines.GROUP + 20)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([*crowd, *pair])], "doc_id long, text string")
+    assert [r.doc_id for r in lines.without_repeats(frame, "doc_id", "text").collect() if r.removed] == [len(crowd) + 1]
+
+
 # -- 2: BPE ---------------------------------------------------------------------------------------------------------
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
