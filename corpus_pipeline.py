@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, langid, lines, simhash
+from corvane.llm import bpe, decontaminate, langid, lines, shingles
 from corvane.llm._common import remainder, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,8 +35,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id in each group of near-duplicates; of several rows with that id, one."""
-    groups = simhash.near_duplicates(docs, "doc_id", "text")
+    """Keeps the document of the smallest id in each group of near-duplicates (0.8 of their five-word shingles, which two
+    bits of a SimHash cannot tell); of several rows with that id, one."""
+    groups = shingles.near_duplicates(docs, "doc_id", "text")
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     row = F.struct("text", "lang", "source", "n_chars")
     return docs.join(first, "doc_id").groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", "row.*")

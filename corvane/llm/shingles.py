@@ -1,0 +1,71 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, exactly.
+
+Each text is the set of hashes of its shingles. Two sets whose similarity is LIKE or more share one of the least hashes
+of both: of n hashes, n - ceil(LIKE * n) + 1 are sought. Sets that meet there are compared in full. Those that meet are
+compared to the least of them first; only sets that this leaves in different groups are compared in pairs, so a large
+group of near copies is not expanded.
+"""
+
+from __future__ import annotations
+
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corvane.llm._common import stored, with_row_columns
+from corvane.llm._graph import components
+
+#: Words of a shingle.
+SHINGLE = 5
+
+
+def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes of the shingles in order; a text of fewer words is one shingle."""
+    words = text.encode().lower().split() if text else []
+    grams = zip(*(islice(words, i, None) for i in range(shingle))) if len(words) > shingle else [words]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(g)) for g in grams), np.uint64).view(np.int64))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, component_id) for each row: the smallest doc_id that is reachable over texts whose sets of shingles have
+    a Jaccard similarity of 0.8 or more. Equal sets are one node; ids that are null are no component's."""
+
+    def prepare():
+        def apply(values):
+            found = [hashes(v) for v in values]
+            nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
+            return [pa.array(nodes), pa.array(found, pa.list_(pa.int64()))]
+
+        return apply
+
+    fields = [T.StructField("node", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))]
+    rows = with_row_columns(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", fields, prepare)
+    rows = stored(rows.select("doc_id", "node", "hashes"), "shingles")
+    sets = rows.select("node", "hashes")
+    size = F.size("hashes")
+    sought = rows.select("node", size.alias("n"), F.explode(F.slice("hashes", F.lit(1), size - F.floor((4 * size + 4) / 5).cast("int") + 1)).alias("key")).distinct()
+    shared = sought.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
+    met = stored(sought.join(shared, "key"), "shingles-met")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        of = lambda x: sets.dropDuplicates(["node"]).select(F.col("node").alias(x), F.col("hashes").alias(f"{x}_hashes"))
+        both = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
+        common = F.size(F.array_intersect("a_hashes", "b_hashes"))
+        return both.where(9 * common >= 4 * (F.size("a_hashes") + F.size("b_hashes"))).select("a", "b")
+
+    first = stored(alike(met.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))), "shingles-first")
+    groups = components(first)
+    grouped = met.join(groups, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    x, y = grouped.alias("x"), grouped.alias("y")
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & (5 * F.col("x.n") >= 4 * F.col("y.n")) & (5 * F.col("y.n") >= 4 * F.col("x.n"))
+    second = alike(x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    found = components(first.unionByName(second)).withColumnsRenamed({"root": "whole"})
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
+    rooted = nodes.join(found, "node", "left").select("node", "least", F.coalesce("whole", "node").alias("root"))
+    ids = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")).join(rooted, "root").select("node", "component_id"), "shingles-ids")
+    return rows.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")

@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 
 import corpus_pipeline
@@ -38,6 +40,39 @@ def test_stages(spark):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
 
 
+def test_near_dedup_finds_all_pairs_of_similarity(spark):
+    rng = random.Random(3)
+    base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randint(0, 30)) for _ in range(rng.randint(3, 120))] for _ in range(30)]
+    texts = [" ".join(w) for w in base]
+    for _ in range(120):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = "new" + str(rng.randint(0, 99))
+        texts.append(" ".join(words))
+
+    def grams(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i for i in range(len(texts)) if find(i) == i}
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, frame, "")
+    assert kept.columns == list(corpus_pipeline.COLUMNS) and {r.doc_id for r in kept.collect()} == want and 30 <= len(want) < 140
+
+
 def test_run_on_an_empty_table(spark, tmp_path):
     folder = str(tmp_path)
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("false").write.parquet(f"{folder}/documents.parquet")
