@@ -1,34 +1,42 @@
 """Byte-level BPE by monoid tree reduction.
 
-A text is halved down to leaves, each leaf is encoded alone, and neighbours are joined: a window around the seam grows
-on both sides until each rim is a place where every reading of the text starts a new piece (behind a letter that no
-letter follows, or behind a digit that no digit follows). The pieces outside such a window cannot depend on what lies
-within it, so the ids outside it are final; the window alone is encoded again, and the ids that it replaces are counted
-by encoding the parts of it that belonged to either neighbour. Decoding concatenates up the same kind of tree.
+A text is cut into leaves of a few pieces, each leaf is encoded as if it stood alone, and neighbours are joined pair by
+pair until one node is left. A node has its pieces (the matches of the pattern) and their ids. Where two nodes meet, a
+window of the last and the first piece is read and encoded again; it grows, a piece at a time, until both its ends are
+rims: behind a letter that no letter follows, or behind a digit that no digit follows, every reading of the text starts
+a new piece. So what lies outside the window cannot depend on what lies within, and its ids are final.
+
+Pieces that are longer than any token go the same way: their bytes are cut into leaves, and two runs of ids are joined
+by encoding a growing window of ids around the seam. It ends where the ids on either side of its ends, encoded by
+themselves, stay apart: ids of which each two neighbours stay apart are the encoding of the bytes that they stand for,
+as the first merge across a seam would be the first one across it in those two alone too.
+
+Decoding concatenates up a tree of the same kind.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from corvane.llm._common import with_row_columns
 
-#: Code points of a leaf.
-LEAF = 8192
-#: Code points on either side of a seam that a window starts with; it doubles until it has a rim.
-WINDOW = 64
-#: Ids that a leaf of the decoding tree has.
-DECODE_LEAF = 1 << 15
-#: Where a piece ends whatever stands around: runs of letters and runs of digits are never cut or joined elsewhere.
-RIM = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})")
+#: Code points of a leaf of a text, bytes of a leaf of a long piece, ids of a leaf when decoding.
+LEAF = 64
+#: Pieces whose ids a process remembers.
+MEMORY = 1 << 18
+#: The last letter of a piece and the first of the next one, if the place between them is a rim.
+RIM = regex.compile(r"\p{L}\P{L}|\p{N}\P{N}")
+
+#: Pieces of a text, and the ids of each, packed.
+Node = tuple[list[str], list[bytes]]
 
 
 class ByteBPE:
@@ -38,54 +46,114 @@ class ByteBPE:
     of white space, and contractions of an apostrophe and letters.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, window: int = WINDOW):
-        self.leaf_ids = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.bytes_of = {v: k for k, v in ranks.items()}
-        self.leaf, self.window = max(1, leaf), max(1, window)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF):
+        self.ranks, self.name, self.leaf = ranks, {v: k for k, v in ranks.items()}, max(1, leaf)
+        self.longest = max(map(len, ranks))
+        self.split = regex.compile(pattern).findall
+        self.is_rim = functools.cache(lambda seam: RIM.match(seam) is not None)
+        self.apart = functools.lru_cache(1 << 16)(lambda a, b: self.merge(self.name[a] + self.name[b]) == [a, b])
+        self.codes = _Codes(self.piece)
 
     def encode(self, text: str) -> list[int]:
-        return self._node(text, 0, len(text))
-
-    def _node(self, text: str, lo: int, hi: int) -> list[int]:
-        """The ids of a part of the text, as if it stood alone."""
-        if hi - lo <= self.leaf:
-            return self.leaf_ids(text[lo:hi])
-        mid = (lo + hi) // 2
-        left, right = self._node(text, lo, mid), self._node(text, mid, hi)
-        start, end = self._rim_before(text, lo, mid), self._rim_behind(text, mid, hi)
-        keep = len(left) - len(self.leaf_ids(text[start:mid]))
-        skip = len(self.leaf_ids(text[mid:end]))
-        del left[keep:]
-        left += self.leaf_ids(text[start:end])
-        left += right[skip:] if skip else right
-        return left
-
-    def _rim_before(self, text: str, lo: int, mid: int) -> int:
-        """The last rim of text[lo:mid], or lo."""
-        size = self.window
+        return array("i", self.packed(text)).tolist()
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers."""
+        if not text:
+            return b""
+        return b"".join(_reduced([self.node(text[i : i + self.leaf]) for i in range(0, len(text), self.leaf)], self.join)[1])
+
+    def node(self, text: str) -> Node:
+        pieces = self.split(text)
+        return pieces, list(map(self.codes.__getitem__, pieces))
+
+    def join(self, left: Node, right: Node) -> Node:
+        """The node of both texts, one behind the other."""
+        (pieces, codes), (behind, after) = left, right
+        keep, skip = len(pieces) - 1, 1
+        while keep and not self.is_rim(pieces[keep - 1][-1] + pieces[keep][0]):
+            keep -= 1
+        while skip < len(behind) and not self.is_rim(behind[skip - 1][-1] + behind[skip][0]):
+            skip += 1
+        last, first = pieces[keep:], behind[:skip]
+        window = self.split("".join(last + first))
+        if len(window) == len(last) == len(first) == 1 and min(len(last[0]), len(first[0])) > self.longest:  # one long piece
+            ids = [self.seam(codes[-1], after[0])]
+        else:
+            ids = [self.codes[p] for p in window]
+        pieces[keep:], codes[keep:] = window, ids
+        pieces += behind[skip:]
+        codes += after[skip:]
+        return pieces, codes
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of a piece: its own one where it is a token, else by merging."""
+        data = piece.encode()
+        if (whole := self.ranks.get(data)) is not None:
+            return array("i", [whole]).tobytes()
+        return _reduced([array("i", self.merge(data[i : i + self.leaf])).tobytes() for i in range(0, len(data), self.leaf)], self.seam)
+
+    def seam(self, left: bytes, right: bytes) -> bytes:
+        """The ids of two runs of bytes, one behind the other, from the ids of each."""
+        size = 1
         while True:
-            at = max(lo, mid - size)
-            found = [m.start() for m in RIM.finditer(text, at, mid) if m.start() < mid]
-            if found or at == lo:
-                return found[-1] if found else lo
+            before, behind = array("i", left[-4 * size :]), array("i", right[: 4 * size])
+            window = self.merge(b"".join([self.name[i] for i in before + behind]))
+            keep, skip = len(left) - 4 * len(before), 4 * len(behind)
+            if not keep or self.apart(array("i", left[keep - 4 : keep])[0], window[0]):
+                if skip == len(right) or self.apart(window[-1], array("i", right[skip : skip + 4])[0]):
+                    return left[:keep] + array("i", window).tobytes() + right[skip:]
             size *= 2
 
-    def _rim_behind(self, text: str, mid: int, hi: int) -> int:
-        """The first rim of text[mid:hi], or hi."""
-        size = self.window
-        while True:
-            to = min(hi, mid + size)
-            found = RIM.search(text, mid, to)
-            if found or to == hi:
-                return found.start() if found else hi
-            size *= 2
+    def merge(self, data: bytes) -> list[int]:
+        """Ids of bytes by merging: time and again the leftmost pair of neighbours that makes the token of least rank."""
+        rank, none = self.ranks.get, 1 << 60
+        cuts = list(range(len(data) + 1))  # where parts begin, and the end
+        pairs = [rank(data[i : i + 2], none) for i in cuts[:-2]]  # of each part and the next
+        pairs.append(none)
+        while (least := min(pairs)) < none:
+            at = pairs.index(least)
+            while True:
+                del cuts[at + 1], pairs[at + 1]
+                pairs[at] = new = rank(data[cuts[at] : cuts[at + 2]], none) if at + 2 < len(cuts) else none
+                if at:
+                    pairs[at - 1] = before = rank(data[cuts[at - 1] : cuts[at + 1]], none)
+                    new = min(new, before)
+                if len(cuts) < self.leaf or new < least or least not in pairs[at:]:
+                    break
+                at = pairs.index(least, at)  # many parts: go on behind as long as no lower rank has come up
+        return [self.ranks[data[a:b]] for a, b in zip(cuts, cuts[1:])]
 
     def decode(self, ids) -> bytes:
-        if len(ids) <= DECODE_LEAF:
-            name = self.bytes_of
-            return b"".join([name[i] for i in ids])
-        mid = len(ids) // 2
-        return self.decode(ids[:mid]) + self.decode(ids[mid:])
+        name = self.name
+        return _reduced([b"".join([name[i] for i in ids[k : k + self.leaf]]) for k in range(0, len(ids), self.leaf)], bytes.__add__) if len(ids) else b""
+
+
+class _Codes(dict):
+    """Ids of the pieces met so far; when there are too many, those that have not been met lately are forgotten."""
+
+    def __init__(self, ids_of):
+        super().__init__()
+        self.ids_of, self.before = ids_of, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.before.get(piece)
+        if found is None:
+            found = self.ids_of(piece)
+        if len(piece) <= LEAF:
+            if len(self) >= MEMORY:
+                self.before = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+
+def _reduced(nodes: list, join):
+    """The nodes joined two by two, and what comes of that again, until one is left."""
+    while len(nodes) > 1:
+        joined = [join(a, b) for a, b in zip(nodes[::2], nodes[1::2])]
+        nodes = joined + nodes[len(nodes) // 2 * 2 :]
+    return nodes[0]
 
 
 @functools.lru_cache(maxsize=4)
@@ -96,21 +164,20 @@ def load(path: str, pattern: str) -> ByteBPE:
 
 
 def encode(df: DataFrame, text: str, path: str, pattern: str, out: str = "token_ids") -> DataFrame:
-    """``df`` with the ids of each whole text as array<int>; a null or empty text has none.
+    """``df`` with the ids of each whole text as array<int>; a null or empty text has none, an empty table gives an empty one.
 
-    Rows are independent: nothing is shuffled, repeated rows and ties need no rule. Other columns stay; one that is
-    named as ``out`` is replaced. ``path`` must be readable on every executor (an installed vocabulary file).
+    Rows are independent: nothing is shuffled, repeated rows and ties need no rule. A very long text is one value and
+    takes one task's time, about in proportion to its length. Other columns stay; one that is named as ``out`` is
+    replaced. ``path`` must be readable on every executor (an installed vocabulary file).
     """
 
     def prepare():
         bpe = load(path, pattern)
 
         def apply(values: list) -> list:
-            ids, ends = [], [0]
-            for v in values:
-                ids.append(np.array(bpe.encode(v or ""), dtype=np.int32))
-                ends.append(ends[-1] + len(ids[-1]))
-            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))]
+            ids = [bpe.packed(v or "") for v in values]
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))]
 
         return apply
 
@@ -118,10 +185,11 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, out: str = "token_
 
 
 def decode(df: DataFrame, ids: str, path: str, pattern: str, out: str = "decoded") -> DataFrame:
-    """``df`` with the bytes that each array of ids stands for; a null array gives no bytes. An unknown id is an error."""
+    """``df`` with the bytes that each array of ids stands for; a null or empty array gives no bytes. An unknown id is an
+    error. Rows are independent; a column named as ``out`` is replaced, the others stay; an empty table gives an empty one."""
 
     def prepare():
         bpe = load(path, pattern)
-        return lambda values: [[bpe.decode(v) if v is not None and len(v) else b"" for v in values]]
+        return lambda values: [[bpe.decode(v) if v is not None else b"" for v in values]]
 
     return with_row_columns(df, ids, [T.StructField(out, T.BinaryType())], prepare)

@@ -140,14 +140,30 @@ def library():
 
 def test_tree_equals_library(library):
     ranks, whole = library
-    small = bpe.ByteBPE(ranks, public_tokenizers.PATTERN, leaf=3, window=1)
+    small = bpe.ByteBPE(ranks, public_tokenizers.PATTERN, leaf=3)
     parts = ["a", "the", " ", "  ", "\n", "'", "l", "L", "s", "1", "22", "é", "漢", "!", "..", "'ll", "'re", "aaaa", "\xa0", "\U0001f600", "²", "́", "<|endoftext|>"]
     for _ in range(2500):
         text = "".join(RNG.choice(parts) for _ in range(RNG.randint(0, 50)))
         ids = whole.encode_ordinary(text)
         assert small.encode(text) == ids and small.decode(ids).decode() == text
-    for text in ("a" * 20_001, " " * 5001 + "x", "the" * 9000, "=" * 30_000, "word, " * 9000):
-        assert bpe.load(PATH, public_tokenizers.PATTERN).encode(text) == whole.encode_ordinary(text)
+    own = bpe.load(PATH, public_tokenizers.PATTERN)
+    for size in (1, 10, 64, 65, 1000, 100_000):  # one way at every size
+        for text in ("a" * size, " " * size + "x", "the" * size, "=" * size, "word, " * size, "漢字" * size, "".join(RNG.choices("abcdefghij", k=size)), "".join(RNG.choices(parts, k=size))):
+            ids = whole.encode_ordinary(text[:100_000])
+            assert own.encode(text[:100_000]) == ids and own.decode(ids).decode() == text[:100_000]
+
+
+def test_tree_uses_no_tokenizer_library():
+    assert not {"tiktoken", "tokenizers"} & set(vars(bpe))
+
+
+def test_ids_that_stay_apart_are_an_encoding(library):
+    small = bpe.ByteBPE(library[0], public_tokenizers.PATTERN, leaf=4)
+    for _ in range(3000):
+        data = "".join(RNG.choice(["a", "aa", "the", "er", "in", "g", "é", "t"]) for _ in range(RNG.randint(2, 30))).encode()
+        at = RNG.randint(1, len(data) - 1)
+        packed = [np.array(small.merge(x), np.int32).tobytes() for x in (data[:at], data[at:])]
+        assert np.frombuffer(small.seam(*packed), np.int32).tolist() == small.merge(data)
 
 
 def test_bpe_frames(docs, empty, library):
