@@ -45,18 +45,19 @@ class Mapping:
         return sorted({p for role, path in self.turns for p in ([role[1:], path] if role[0] == "=" else [path])})
 
 
+#: What one layout calls those whom all others call user and assistant; elsewhere roles stay as they are.
 _SPEAKERS = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
 MAPPINGS = (
-    Mapping("messages", (("=messages[].role", "messages[].content"),), roles=_SPEAKERS),
-    Mapping("message texts", (("=messages[].role", "messages[].text"),), roles=_SPEAKERS),
+    Mapping("messages", (("=messages[].role", "messages[].content"),)),
+    Mapping("message texts", (("=messages[].role", "messages[].text"),)),
     Mapping("speaker list", (("system", "system"), ("=conversations[].from", "conversations[].value")), ("system",), _SPEAKERS),
-    Mapping("dialogue", (("=dialogue[].speaker", "dialogue[].utterance"),), roles=_SPEAKERS),
+    Mapping("dialogue", (("=dialogue[].speaker", "dialogue[].utterance"),)),
     Mapping("prompt", (("system", "system"), ("user", "prompt"), ("assistant", "response")), ("system",)),
     Mapping("completion", (("system", "system"), ("user", "prompt"), ("assistant", "completion")), ("system",)),
     Mapping("question", (("user", "context"), ("user", "question"), ("assistant", "answer")), ("context",)),
     Mapping("instruction", (("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")), ("system", "input")),
-    Mapping("nested data", (("=data.messages[].role", "data.messages[].content"),), roles=_SPEAKERS),
+    Mapping("nested data", (("=data.messages[].role", "data.messages[].content"),)),
 )
 
 
@@ -124,8 +125,12 @@ def _text(value) -> str:
 
 OPEN, MIDDLE, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
 #: What texts may not hold plainly: our marks and those of common templates. After "<" or "[" and any backslashes.
-_PLAIN = re.compile(r"([<\[])(\\*)(?=\||/?s>|/?SYS>|/?INST\])")
-_ESCAPED = re.compile(r"([<\[])\\(\\*)(?=\||/?s>|/?SYS>|/?INST\])")
+_MARK = (
+    r"(?=\||/?s>|/?SYS>|unk>|pad>|mask>|[be]os>|start_of_turn>|end_of_turn>"  # <|...|>, <s>, <<SYS>>, <start_of_turn>
+    r"|/?INST\]|/?TOOL_CALLS\]|/?TOOL_RESULTS\]|/?AVAILABLE_TOOLS\]|/?SYSTEM_PROMPT\])"
+)
+_PLAIN = re.compile(r"([<\[])(\\*)" + _MARK)
+_ESCAPED = re.compile(r"([<\[])\\(\\*)" + _MARK)
 _TURN = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>", re.S)
 
 
@@ -163,7 +168,9 @@ def format_records(df: DataFrame, record: str, trained: str = "assistant") -> Da
     """``df`` with ``layout``, ``formatted`` and ``loss_mask`` of each record, a JSON text.
 
     Layout, text and mask are null where the JSON can't be read or no mapping answers to its fingerprint. Rows are
-    independent; columns named as the new ones are replaced.
+    independent, repeated ones are formatted alike; a very long record is one value and takes one task's time in
+    proportion to its length; columns named as the new ones are replaced, the others stay; an empty table gives an
+    empty one.
     """
 
     def one(value: str | None) -> tuple:
@@ -181,14 +188,16 @@ def format_records(df: DataFrame, record: str, trained: str = "assistant") -> Da
 
 
 def read_back(df: DataFrame, formatted: str = "formatted") -> DataFrame:
-    """``df`` with ``turns``, array of (role, text), read from the formatted text; a null text gives null."""
+    """``df`` with ``turns``, array of (role, text), read from the formatted text; a null text gives null, an empty one no
+    turns. Rows are independent; a column named ``turns`` is replaced, the others stay; an empty table gives an empty one."""
     turns = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
     one = lambda v: None if v is None else [{"role": r, "text": t} for r, t in parse(v)]
     return with_row_columns(df, formatted, [T.StructField("turns", turns)], lambda: lambda values: [[one(v) for v in values]])
 
 
 def masked_text(df: DataFrame, formatted: str = "formatted", mask: str = "loss_mask", out: str = "loss_text") -> DataFrame:
-    """``df`` with the unescaped text that lies under the loss mask, span after span with nothing between."""
+    """``df`` with the unescaped text that lies under the loss mask, span after span with nothing between; null where there
+    is no formatted text, empty where the mask is. A column named ``out`` is replaced, the others stay."""
     both = df.withColumn("__chat_both", F.struct(F.col(formatted).alias("f"), F.col(mask).alias("m")))
     packed = both.withColumn("__chat_both", F.when(F.col(formatted).isNotNull(), F.to_json("__chat_both")))
 
@@ -202,13 +211,29 @@ def masked_text(df: DataFrame, formatted: str = "formatted", mask: str = "loss_m
 
 
 def gathered(rows: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
-    """(conv_id, record): the rows of each conversation as one record of messages, as JSON.
+    """(conv_id, record): the rows of each conversation as one record, as JSON, in a layout that can hold its turns.
 
-    In order of turn, then role and text, repeated rows included; null turns come first; null roles and texts are
-    empty; null conversation ids are one conversation. A conversation is one value in the end, so its rows meet in one
-    task; they are lists from the map side on.
+    In order of turn, then role and text, repeated rows included; null turns come first; null roles and texts are empty.
+    A conversation is one value in the end, so its rows meet in one task; they are lists from the map side on. A row
+    without a conversation id is a conversation by itself, so such rows never meet. Other columns are left out. The
+    layouts are dealt out by ids: messages, messages with texts, a dialogue, nested data, and prompt and response where a
+    conversation is a question and its answer, perhaps behind a system's turn.
     """
     message = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("content"))
-    lists = rows.select(F.col(conv_id).alias("conv_id"), message.alias("m")).groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
-    messages = F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return lists.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    found = rows.select(F.col(conv_id).alias("conv_id"), message.alias("m"))
+    lists = found.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    lists = lists.unionByName(found.where("conv_id IS NULL").select("conv_id", F.array("m").alias("m")))
+    listed = lambda role, text: F.transform("m", lambda m: F.struct(m["role"].alias(role), m["content"].alias(text)))
+    json_ = lambda value, name: F.to_json(F.struct(value.alias(name)))
+    messages, kind = listed("role", "content"), F.pmod(F.coalesce(F.col("conv_id").cast("long"), F.lit(0)), F.lit(5))
+    roles = F.transform("m", lambda m: m["role"])
+    asked, led = (roles == F.array(*map(F.lit, names)) for names in (("user", "assistant"), ("system", "user", "assistant")))
+    at = lambda i: F.get("m", i)["content"]
+    record = (
+        F.when(kind == 1, json_(listed("role", "text"), "messages"))
+        .when(kind == 2, json_(listed("speaker", "utterance"), "dialogue"))
+        .when(kind == 3, json_(F.struct(messages.alias("messages")), "data"))
+        .when((kind == 4) & asked, F.to_json(F.struct(at(0).alias("prompt"), at(1).alias("response"))))
+        .when((kind == 4) & led, F.to_json(F.struct(at(0).alias("system"), at(1).alias("prompt"), at(2).alias("response"))))
+    )
+    return lists.select("conv_id", F.coalesce(record, json_(messages, "messages")).alias("record"))

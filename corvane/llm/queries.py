@@ -107,7 +107,8 @@ QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_chat_format
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-_ESCAPES = r"len(regexp_extract_all({}, '[<\[]\\*(\||/?s>|/?SYS>|/?INST\])'))"
+_MARKS = "|".join((r"\|", "/?s>", "/?SYS>", "unk>", "pad>", "mask>", "[be]os>", "start_of_turn>", "end_of_turn>", *(rf"/?{w}\]" for w in ("INST", "TOOL_CALLS", "TOOL_RESULTS", "AVAILABLE_TOOLS", "SYSTEM_PROMPT"))))
+_ESCAPES = rf"len(regexp_extract_all({{}}, '[<\[]\\*({_MARKS})'))"
 
 ORACLES = {
     "op3_chat_format": f"""
@@ -116,7 +117,9 @@ ORACLES = {
         SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
             coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-            sum(23 + length(role) + length(text) + {_ESCAPES.format("role")} + {_ESCAPES.format("text")})::BIGINT AS formatted_chars, 'messages' AS layout
+            sum(23 + length(role) + length(text) + {_ESCAPES.format("role")} + {_ESCAPES.format("text")})::BIGINT AS formatted_chars,
+            CASE WHEN (conv_id % 5 + 5) % 5 = 4 AND string_agg(role, ',' ORDER BY turn, role, text) IN ('user,assistant', 'system,user,assistant') THEN 'prompt'
+                ELSE CASE (conv_id % 5 + 5) % 5 WHEN 1 THEN 'message texts' WHEN 2 THEN 'dialogue' WHEN 3 THEN 'nested data' ELSE 'messages' END END AS layout
         FROM c GROUP BY conv_id""",
     "op5_substrings": """
         WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
