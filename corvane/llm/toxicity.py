@@ -24,8 +24,8 @@ from corvane.llm._common import slices, with_row_columns
 BITS = 20
 #: First letters of a word that are features beside it.
 PREFIXES = (4, 5)
-#: Labelled documents, and code points of each, that the model is fitted on at most.
-FIT_DOCS, FIT_CHARS = 8_000, 8_000
+#: Labelled documents, whatever their length, that the model is fitted on, about.
+FIT_DOCS = 6_000
 #: The bias to start with: a sentence without a telling word is harmless but for one in 20,000, so long texts stay clean.
 START = -10.0
 STEPS, RATE, DECAY = 140, 2.5, 1e-6
@@ -102,10 +102,12 @@ def bag(text: str) -> tuple[list[int], list[int]]:
 
 
 def fit(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, label: str, among: Callable[[str], Column] | None = None, bound: int = FIT_DOCS) -> Model:
-    """A model of about ``bound`` labelled documents of FIT_CHARS code points at most, chosen by a hash of the id.
+    """A model of about ``bound`` labelled documents, whole, chosen by a hash of the id.
 
     ``among`` restricts ids (training rows). Null ids and labels are left out; of several labels of an id the largest
-    holds. Without a labelled document every score is that of the first bias. The driver gets 4 bytes a feature.
+    holds; of several texts of an id each is one document; a null text is an empty one. Without a labelled document
+    every score is that of the first bias. The driver gets 4 bytes a feature of the sample, the only thing that is
+    bounded: very long texts make it large, so ``bound`` is to be lowered for them.
     """
     chosen = labels.select(F.col(label_id).alias("id"), F.col(label).alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     if among is not None:
@@ -113,7 +115,7 @@ def fit(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: st
     chosen = chosen.groupBy("id").agg(F.max("y").alias("y"))
     share = min(1.0, bound / max(1, chosen.count()))
     chosen = chosen.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.coalesce(F.char_length("text"), F.lit(0)) <= FIT_CHARS)
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,8 +132,9 @@ def fit(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: st
 def score(docs: DataFrame, text: str, model: Model, above: float = 0.5) -> DataFrame:
     """``docs`` with ``toxicity`` (0 to 1) of each whole text and ``offending``: spans and scores of sentences ``above``.
 
-    Null and empty texts have the score of an empty sentence. Rows are independent; columns named as the new ones are
-    replaced.
+    Null and empty texts have the score of an empty sentence; a very long one takes one task's time in proportion to its
+    length. Rows are independent, repeated ones score alike; columns named as the new ones are replaced, the others stay;
+    an empty table gives an empty one.
     """
     weights, bias = model.weights, model.bias
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
