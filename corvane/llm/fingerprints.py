@@ -1,8 +1,9 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's words in order give overlapping k-grams; each k-gram has a hash, and of each window of hashes the smallest is
-kept, the rightmost of equal ones, with its place. Any run of ``k + window - 1`` words that two texts share puts a
-common hash into both fingerprints. Words are cut after WORD code points, so a text without white space has k-grams too.
+A text's words in order give overlapping k-grams. Their hashes roll: each word is hashed once, and the hash of a k-gram
+comes from the one before by a turn of its bits, taking the word out that it leaves and the one in that it gains. Of each
+window of hashes the smallest is kept, the rightmost of equal ones, with its place. Any run of ``k + window - 1`` words
+that two texts share puts a common hash into both fingerprints. Words are cut after WORD code points, so a text without white space has k-grams too.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from corvane.llm._common import ranged
 K, WINDOW, WORD = 5, 4, 12
 #: Text bytes of a range of ids, about.
 RANGE_BYTES = 8 << 20
+#: K-grams that a hash rolls over before it starts anew: a list that grows is copied at each step, so it has to stay short.
+ROLL = 64
 
 
 def words(text: Column) -> Column:
@@ -23,10 +26,33 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^\x09-\x0D ]{{1,{WORD}}}"), F.lit(0))
 
 
-def hashes(words: Column, k: int = K) -> Column:
-    """Hashes of all k-grams in order; fewer words are one k-gram, none gives none."""
-    gram = lambda w, i: F.xxhash64(w, *[F.get(words, i + j) for j in range(1, k)])
-    return F.transform(F.slice(words, 1, F.least(F.size(words), F.greatest(F.size(words) - (k - 1), F.lit(1)))), gram)
+def _turned(bits: Column, by: int) -> Column:
+    """64 bits turned to the left."""
+    return F.shiftleft(bits, by % 64).bitwiseOR(F.shiftrightunsigned(bits, 64 - by % 64)) if by % 64 else bits
+
+
+def hashes(word_hashes: Column, k: int = K) -> Column:
+    """Hashes of all k-grams in order, from those of the words; fewer words are one k-gram, none gives none.
+
+    The hash of a k-gram is that of its words, each turned by the number of words behind it in the k-gram, exclusively
+    or'ed together.
+    """
+    count = F.least(F.size(word_hashes), F.greatest(F.size(word_hashes) - (k - 1), F.lit(1)))
+    word = lambda i: F.coalesce(F.get(word_hashes, i), F.lit(0).cast("long"))
+
+    def rolled(start: Column) -> Column:
+        first = _turned(word(start), k - 1)
+        for j in range(1, k):
+            first = first.bitwiseXOR(_turned(word(start + j), k - 1 - j))
+        on = F.sequence(start + 1, F.least(start + ROLL, count) - 1)
+        return F.when(F.least(start + ROLL, count) == start + 1, F.array(first)).otherwise(F.aggregate(on, F.array(first), step))
+
+    def step(done: Column, i: Column) -> Column:
+        before = F.coalesce(F.element_at(done, -1), F.lit(0).cast("long"))
+        return F.array_append(done, _turned(before, 1).bitwiseXOR(_turned(word(i - 1), k)).bitwiseXOR(word(i + (k - 1))))
+
+    starts = F.when(count > 0, F.sequence(F.lit(0), count - 1, F.lit(ROLL))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(starts, rolled))
 
 
 def winnow(grams: Column, window: int = WINDOW) -> Column:
@@ -55,15 +81,18 @@ def _all(conditions: list[Column]) -> Column:
 def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, window: int = WINDOW) -> DataFrame:
     """``df`` with the fingerprint of each whole text: a struct of the kept hashes and their places, both in order.
 
-    A column named ``out`` is replaced. Each step is a column of its own, so that none is computed twice.
+    A null or empty text has an empty one; equal texts have equal ones; a very long text takes one task's time in
+    proportion to its length. Rows are independent; a column named ``out`` is replaced, the others stay. Each step is a
+    column of its own, so that none is computed twice.
     """
-    df = df.withColumn("__winnow_w", words(F.col(text))).withColumn("__winnow_g", hashes(F.col("__winnow_w"), k)).drop("__winnow_w").withColumn("__winnow_p", winnow(F.col("__winnow_g"), window))
+    df = df.withColumn("__winnow_w", F.transform(words(F.col(text)), lambda w: F.xxhash64(w)))
+    df = df.withColumn("__winnow_g", hashes(F.col("__winnow_w"), k)).drop("__winnow_w").withColumn("__winnow_p", winnow(F.col("__winnow_g"), window))
     kept = F.transform("__winnow_p", lambda p: F.get(F.col("__winnow_g"), p))
     return df.withColumn(out, F.struct(kept.alias("hashes"), F.col("__winnow_p").alias("places"))).drop("__winnow_g", "__winnow_p")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of common hashes among all hashes of two fingerprints; two without any are alike."""
+    """Share of common hashes among all distinct hashes of two fingerprints; two without any are alike."""
     x, y = F.array_distinct(a["hashes"]), F.array_distinct(b["hashes"])
     both = F.size(F.array_intersect(x, y))
     union = F.size(x) + F.size(y) - both

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -164,6 +165,8 @@ def test_ids_that_stay_apart_are_an_encoding(library):
         at = RNG.randint(1, len(data) - 1)
         packed = [np.array(small.merge(x), np.int32).tobytes() for x in (data[:at], data[at:])]
         assert np.frombuffer(small.seam(*packed), np.int32).tolist() == small.merge(data)
+        ids, count = small._merged([data[:at], data, data[at:]])
+        assert [row[:n].tolist() for row, n in zip(ids, count)] == [small.merge(x) for x in (data[:at], data, data[at:])]
 
 
 def test_bpe_frames(docs, empty, library):
@@ -190,19 +193,39 @@ def test_escapes_and_masks():
     ({"id": 1, "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": None}]}, "messages", [("user", "q"), ("assistant", "")]), ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, "speaker list", [("user", "q"), ("assistant", "a")]),
     ({"instruction": "i", "output": "o"}, "instruction", [("user", "i"), ("assistant", "o")]), ({"instruction": "i", "input": "x", "output": "o", "system": "s"}, "instruction", [("system", "s"), ("user", "i"), ("user", "x"), ("assistant", "o")]),
     ({"prompt": "p", "response": "r"}, "prompt", [("user", "p"), ("assistant", "r")]), ({"prompt": "p", "completion": 3}, "completion", [("user", "p"), ("assistant", "3")]), ({"question": "q", "answer": "a"}, "question", [("user", "q"), ("assistant", "a")]),
-    ({"data": {"messages": [{"role": "model", "content": "a"}]}}, "nested data", [("assistant", "a")]), ({"messages": []}, "messages", []), ({"foo": 1}, None, None), ([], None, None), ({"messages": "text"}, None, None),
+    ({"data": {"messages": [{"role": "model", "content": "a"}]}}, "nested data", [("model", "a")]), ({"messages": [{"role": "human", "content": "q"}, {"role": "gpt", "content": "a"}]}, "messages", [("human", "q"), ("gpt", "a")]), ({"dialogue": [{"speaker": "bot", "utterance": "u"}]}, "dialogue", [("bot", "u")]), ({"messages": []}, "messages", []), ({"foo": 1}, None, None), ([], None, None), ({"messages": "text"}, None, None),
 ])
 def test_layouts(record, name, turns):
     assert chat.turns_of(record) == (None if name is None else (name, turns))
 
 
-def test_chat_frames(spark):
-    rows = [(1, 1, "assistant", "a"), (1, 0, "user", None), (1, 0, "user", None), (None, 0, None, "x"), (2, None, "user", "</s>")]
-    formatted = chat.format_records(chat.gathered(spark.createDataFrame(rows, "c long, t long, r string, x string"), "c", "t", "r", "x"), "record")
-    found = {r.conv_id: r for r in chat.masked_text(chat.read_back(formatted)).collect()}
-    assert [tuple(t) for t in found[1].turns] == [("user", ""), ("user", ""), ("assistant", "a")] and found[1].loss_text == "a" and found[None].loss_text == ""
+def test_common_marks_are_escaped():
+    for mark in ("<|im_start|>", "<s>", "</s>", "<<SYS>>", "[INST]", "[/INST]", "[TOOL_CALLS]", "<unk>", "<pad>", "<bos>", "<eos>", "<start_of_turn>", "<end_of_turn>"):
+        for text in (mark, "a" + mark * 2, mark[0] + "\\" + mark[1:], mark[0] + mark):
+            assert mark not in chat.escape(text) and chat.unescape(chat.escape(text)) == text
+
+
+def test_chat_frames(spark, empty):
+    long_text = "<s> word [INST] " * 50_000
+    rows = [(1, 1, "assistant", "a"), (1, 0, "user", None), (1, 0, "user", None), (None, 0, None, "x"), (None, 1, "human", "y"), (2, None, "user", "</s>"), (3, 0, "gpt", long_text), (3, 0, "gpt", long_text)]
+    rows += [(4, 0, "user", ""), (4, 1, "assistant", "b"), (9, 0, "system", "s"), (9, 1, "user", "q"), (9, 2, "assistant", None), (14, 0, "user", "q"), (14, 1, "human", "b"), (7, 0, "user", "q")]
+    frame = spark.createDataFrame(rows, "c long, t long, r string, x string").withColumns({c: F.lit("old") for c in ("conv_id", "record", "m", "turns")})
+    formatted = chat.format_records(chat.gathered(frame, "c", "t", "r", "x"), "record").withColumns({"turns": F.lit("old"), "loss_text": F.lit("old"), "source": F.lit("kept")})
+    all_rows = chat.masked_text(chat.read_back(formatted)).collect()
+    found = {r.conv_id: r for r in all_rows if r.conv_id is not None}
+    by_id = collections.defaultdict(list)
+    for c, t, r, x in rows:
+        by_id[c].append((t is not None, t, r or "", x or ""))
+    for c, own in by_id.items():
+        if c is not None:
+            want = [(r, x) for _, _, r, x in sorted(own)]
+            assert [tuple(t) for t in found[c].turns] == want and found[c].loss_text == "".join(x for r, x in want if r == "assistant") and found[c].source == "kept"
+    assert {c: r.layout for c, r in found.items()} == {1: "message texts", 2: "dialogue", 3: "nested data", 4: "prompt", 9: "prompt", 14: "messages", 7: "dialogue"}
+    assert sorted([tuple(t) for t in r.turns] for r in all_rows if r.conv_id is None) == [[("", "x")], [("human", "y")]]
     bad = spark.createDataFrame([("{",), (None,), ('{"x": 1}',)], "record string")
     assert [r.formatted for r in chat.format_records(bad, "record").collect()] == [None] * 3
+    assert chat.masked_text(chat.read_back(chat.format_records(bad.where("false"), "record"))).collect() == []
+    assert chat.gathered(frame.where("false"), "c", "t", "r", "x").collect() == []
 
 
 # -- 4: SimHash -----------------------------------------------------------------------------------------------------
@@ -429,6 +452,51 @@ def test_winnow(spark):
             assert r.p == want
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_fingerprint(text, k=5, window=4):
+    """Hashes and places, with each k-gram hashed by itself."""
+    own = [w[i : i + 12] for w in re.findall(r"[^\x09-\x0D ]+", text or "") for i in range(0, len(w), 12)]
+    hashed = [xxhash.xxh64_intdigest(w.encode(), 42) for w in own]
+    turned = lambda x, n: (x << n | x >> (64 - n)) & M64
+    grams = []
+    for i in range(max(1, len(own) - k + 1) if own else 0):
+        g = 0
+        for j, h in enumerate(hashed[i : i + k]):
+            g ^= turned(h, k - 1 - j) if k - 1 - j else h
+        grams.append(g - (1 << 64) if g >> 63 else g)
+    places = []
+    for s in range(max(1, len(grams) - window + 1) if grams else 0):
+        part = grams[s : s + window]
+        at = s + max(i for i, x in enumerate(part) if x == min(part))
+        places += [at] if at not in places[-1:] else []
+    return [grams[p] for p in places], places
+
+
+def test_rolled_fingerprints(spark, docs):
+    rows = [(r.text,) for r in docs.collect()] + [(" ".join(RNG.choice("abc") for _ in range(n)),) for n in (1, 4, 5, 6, 8, 63, 64, 65, 68, 69, 70, 128, 129, 133, 700)] + [("word " * 40_000,)]
+    frame = spark.createDataFrame(rows, "text string")
+    for r in fingerprints.with_fingerprint(frame, "text", "f").collect():
+        assert (list(r.f.hashes), list(r.f.places)) == plain_fingerprint(r.text)
+    for k, window in ((1, 1), (3, 7)):
+        for r in fingerprints.with_fingerprint(frame.limit(60), "text", "f", k, window).collect():
+            assert (list(r.f.hashes), list(r.f.places)) == plain_fingerprint(r.text, k, window)
+
+
+def test_shared_runs_have_a_common_hash(spark):
+    """The guarantee of winnowing: k + window - 1 words in common, wherever they stand."""
+    word = lambda: "".join(RNG.choices("abcdefgh", k=RNG.randint(1, 9)))
+    rows = []
+    for _ in range(200):
+        run = [word() for _ in range(fingerprints.K + fingerprints.WINDOW - 1)]
+        rows.append(tuple(" ".join([word() for _ in range(RNG.randint(0, 30))] + run + [word() for _ in range(RNG.randint(0, 30))]) for _ in range(2)))
+    frame = fingerprints.with_fingerprint(fingerprints.with_fingerprint(spark.createDataFrame(rows, "a string, b string"), "a", "fa"), "b", "fb")
+    for r in frame.select("fa", "fb", fingerprints.likeness(F.col("fa"), F.col("fb")).alias("x")).collect():
+        a, b = set(r.fa.hashes), set(r.fb.hashes)
+        assert a & b and math.isclose(r.x, len(a & b) / len(a | b))
+
+
 def test_next_documents(docs, empty):
     rows = [(r.doc_id, r.text or "") for r in docs.collect()]
     order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1].encode()))
@@ -496,6 +564,38 @@ def test_language_accuracy(corpus):
     assert sum(r.lang_pred == r.lang for r in found) / len(found) > 0.97 and all(0 <= r.score <= 1 for r in found)
 
 
+def test_language_prediction_is_the_nearest_profile(docs):
+    """Fit and prediction against plain sums over the n-grams of each text."""
+
+    def bundle(text):
+        letters = [0]
+        for c in (text or "").lower() + " ":
+            code = ord(c) if c.isalpha() else 0
+            if code or letters[-1]:
+                letters.append(code)
+        letters += [0] if letters[-1] else []
+        if len(letters) < 3:
+            return None
+        return sum(np.roll(langid._vector(a), 2) * np.roll(langid._vector(b), 1) * langid._vector(c) for a, b, c in zip(letters, letters[1:], letters[2:])).astype(float)
+
+    train = [(f"t{i}", " ".join(RNG.choices(w, k=12)), lang) for lang, w in (("aa", ["alpha", "beta", "gamma"]), ("bb", ["der", "die", "das"]), ("cc", ["uno", "dos", "ñandú"])) for i in range(5)]
+    frame = docs.sparkSession.createDataFrame(train, "id string, text string, lang string")
+    sums = {lang: sum(bundle(t) / np.linalg.norm(bundle(t)) for _, t, x in train if x == lang) for lang in ("aa", "bb", "cc")}
+    unit = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    middle = sum(unit.values()) / 3
+    want = {k: (v - middle) / np.linalg.norm(v - middle) for k, v in unit.items()}
+    prototypes = langid.fit(frame, "text", "lang", "id")
+    assert prototypes.keys() == want.keys() and all(np.allclose(prototypes[k], want[k], atol=1e-5) for k in want)
+    for r in langid.predict(docs, "text", prototypes).collect():
+        own = bundle(r.text)
+        if own is None:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        cosine = {k: float(v @ own / (np.linalg.norm(own) or 1)) for k, v in want.items()}
+        best = max(cosine.values())
+        assert cosine[r.lang_pred] > best - 1e-5 and math.isclose(r.score, 1 / sum(math.exp(langid.SHARP * (c - best)) for c in cosine.values()), rel_tol=1e-3)
+
+
 def test_language_edges(docs, empty, corpus):
     prototypes = langid.fit(corpus[0], "text", "lang", "doc_id", bound=300)
     found = {r.doc_id: r for r in langid.predict(docs, "text", prototypes).collect() if r.doc_id is not None}
@@ -521,6 +621,46 @@ def test_toxicity_accuracy_and_places(corpus):
         assert all(0 <= s.start < s.end <= len(r.text) and s.score > 0.5 for s in r.offending)
 
 
+def test_scores_are_noisy_or_of_sentences(docs):
+    rng = np.random.default_rng(4)
+    weights, bias = np.maximum(rng.normal(0, 1, 1 << toxicity.BITS), 0).astype(np.float32), -4.0
+    for r in toxicity.score(docs, "text", toxicity.Model(weights, bias), above=0.2).collect():
+        p = []
+        for m in [m for m in re.finditer(r"[^.!?\n]{1,400}", r.text or "")] or [None]:
+            own = {w for w in re.findall(r"[^\W\d_]+", m[0].lower())} if m else set()
+            p.append((m.start() if m else 0, m.end() if m else 0, 1 / (1 + math.exp(-bias - sum(float(weights[f]) for w in own for f in toxicity.features(w))))))
+        assert math.isclose(r.toxicity, 1 - math.prod(1 - x for _, _, x in p), rel_tol=1e-4, abs_tol=1e-6)
+        assert [(s.start, s.end) for s in r.offending] == [(a, b) for a, b, x in p if x > 0.2]
+
+
+def test_training_climbs_the_likelihood_of_labels():
+    """The slope that training follows, by differences of the likelihood; and what it finds: the one telling word."""
+    rng = np.random.default_rng(9)
+    sentences_of, labels = rng.integers(1, 5, 60), rng.integers(0, 2, 60)
+    words_of = rng.integers(2, 7, sentences_of.sum())
+    feats, bad = rng.integers(10, 60, words_of.sum()), 5
+    first_word = np.concatenate(([0], np.cumsum(words_of)[:-1]))
+    offending = np.concatenate(([0], np.cumsum(sentences_of)[:-1]))  # the first sentence of each toxic document
+    feats[first_word[offending[labels == 1]]] = bad
+    model = toxicity.train(feats, words_of, sentences_of, labels)
+    assert model.weights.min() >= 0 and model.weights.argmax() == bad and model.weights[bad] > 2 * np.sort(model.weights)[-2]
+
+    def likelihood(weights, bias):
+        z = bias + np.add.reduceat(weights[feats], first_word)
+        harmless = np.multiply.reduceat(1 - 1 / (1 + np.exp(-z)), offending)
+        return np.log(np.where(labels == 1, 1 - harmless, harmless)).sum()
+
+    start = likelihood(np.zeros(1 << toxicity.BITS), toxicity.START)
+    assert likelihood(model.weights.astype(float), model.bias) > start + 50
+
+
+def test_long_documents_are_learnt_from(spark):
+    rows = [(i, "plain words here. " * 600 + ("a vile thing. " if i % 2 else "a nice thing. "), i % 2) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(frame, "doc_id", "text", frame, "doc_id", "toxic")
+    assert {(r.toxic, r.toxicity > 0.5) for r in toxicity.score(frame, "text", model).collect()} == {(0, False), (1, True)}
+
+
 def test_toxicity_edges(docs, empty, corpus):
     none = toxicity.fit(docs, "doc_id", "text", corpus[1].where("false"), "doc_id", "toxic")
     assert all(r.toxicity < 0.5 and r.offending == [] for r in toxicity.score(docs, "text", none).collect())
@@ -556,7 +696,11 @@ def test_queries_on_awkward_tables(spark, awkward_folder):
     for r in found["op7_winnowing"]:
         own, other = texts_[r.doc_id] or "", texts_[order[(order.index(r.doc_id) + 1) % len(order)]] or ""
         n = len(own) // 3
-        assert r.n_chars == len(own) and r.edited_sha256 == sha(own[: len(own) - n] + other[:n]) and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert r.n_chars == len(own) and r.edited_sha256 == sha(own[: len(own) - n] + other[:n])
+        prints = [plain_fingerprint(t) for t in (own, own[: len(own) - n] + other[:n], other)]
+        alike = [len({*a[0]} & {*b[0]}) / len({*a[0]} | {*b[0]}) if a[0] or b[0] else 1.0 for a, b in ((prints[0], prints[1]), (prints[0], prints[2]))]
+        assert math.isclose(r.near_edited, alike[0]) and math.isclose(r.near_next, alike[1])
+        assert [r.fingerprint, r.edited_fingerprint] == [sha(" ".join(map(str, p[0])) + "|" + " ".join(map(str, p[1]))) for p in prints[:2]]
     for r in found["op6_brown_lm"]:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
     assert {r.conv_id for r in found["op3_chat_format"]} >= {-1}
