@@ -103,13 +103,23 @@ def with_next(docs: DataFrame, doc_id: str, text: str, range_bytes: int = RANGE_
     """(doc_id, text, fingerprint, next_text, next_fingerprint) for each row, next being the document of the next smaller
     id; after the last comes the first.
 
-    Rows of one id follow each other in order of text; null ids are the smallest; a null text is empty; a lone row is its
-    own next. Rows are dealt out by ranges of ids, about ``range_bytes`` of text each; the first rows of a range are also
-    copied to the end of the range before it, so no range needs another's rows and none holds them all.
+    Rows of one id follow each other in order of text; rows without an id come last, in order of the texts' hash, then
+    text; a null text is empty; a lone row is its own next; other columns are left out; an empty table gives an empty
+    result. Rows are dealt out by ranges of ids, or of hashes, about ``range_bytes`` of text each; the first rows of a
+    range are also copied to the end of the range before it, so no range needs another's rows and none holds them all.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows, count = ranged(rows, "doc_id", "text", range_bytes, "_range")
-    rows = rows.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    known, known_ranges = ranged(rows.where("doc_id IS NOT NULL").withColumn("_id", F.col("doc_id")), "_id", "text", range_bytes, "_range")
+    idless = rows.where("doc_id IS NULL").withColumn("_id", F.xxhash64("text"))
+    if not idless.isEmpty():
+        idless, count = ranged(idless, "_id", "text", range_bytes, "_range")
+        if known.isEmpty():
+            known_ranges = 0
+        rows = idless.unionByName(known.withColumn("_range", F.col("_range") + count))
+        count += known_ranges
+    else:
+        rows, count = known, known_ranges
+    rows = rows.withColumn("_id", F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("_id").alias("id")))
     heads = rows.groupBy("_range").agg(F.max("_id").alias("_head"))  # a row for each range; none is empty
     own = F.struct(F.col("_range").alias("range"), F.lit(0).alias("copy"))
     copy = F.struct(((F.col("_range") + 1) % count).alias("range"), F.lit(1).alias("copy"))
