@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._common import ranged, small_batches, tidied
+from corvane.llm._common import parts_of, ranged, small_batches, tidied
 
 LENGTH = 50
 #: Bytes of an anchor. Longer ones are shared by chance less often, shorter ones are fewer.
@@ -167,9 +167,9 @@ def judged(blocks: list[int], payloads: list[bytes], hot: int) -> list[bytes]:
     sizes = [len(p) // 16 for p in payloads]
     context = np.concatenate([np.frombuffer(p, "<u8", n) for p, n in zip(payloads, sizes)])
     sides = np.concatenate([np.frombuffer(p, "<u4", 2 * n, 8 * n).reshape(-1, 2) for p, n in zip(payloads, sizes)])
-    order = np.lexsort((np.repeat(blocks, sizes), context))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = context[order][1:] != context[order][:-1]
+    order = np.lexsort((np.repeat(blocks, sizes), sides[:, 1], sides[:, 0], context))
+    fresh = np.ones(len(order), bool)  # 128 bits tell contexts apart: those of the whole and of both sides
+    fresh[1:] = (context[order][1:] != context[order][:-1]) | (sides[order][1:] != sides[order][:-1]).any(axis=1)
     flags = np.zeros(len(order), np.uint8)
     flags[order[~fresh]] = SEEN
     own = order[fresh]
@@ -293,11 +293,13 @@ def without_repeats(docs: DataFrame, doc_id: str, text: str, length: int = LENGT
 
     A byte goes if a string of ``length`` bytes (more than GRAM) covers it that also starts in a document of a smaller
     id; strings are judged on the input and never cross documents. A null text is empty. Rows with a null id neither
-    remove nor lose anything; rows of one id don't remove from each other; an empty table gives an empty result.
+    remove nor lose anything; rows of one id don't remove from each other; an empty table gives an empty result; other
+    columns are left out. A very long text is one range of ids by itself, in one task's memory several times over.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = rows.where("doc_id IS NOT NULL")
-    blocked, parts = ranged(known, "doc_id", "text", block_bytes, "block")
+    blocked, blocks = ranged(known, "doc_id", "text", block_bytes, "block")
+    parts = parts_of(blocks, block_bytes)
     by_block = blocked.select("block", "doc_id", "text").groupBy("block")
 
     def listed(table: pa.Table) -> pa.Table:
@@ -321,8 +323,8 @@ def without_repeats(docs: DataFrame, doc_id: str, text: str, length: int = LENGT
         gone = (flag & SEEN > 0) | (block.doc > block.doc[block.first][block.which])
         out, begin, end = [], [block.left[gone]], [block.right[gone]]
         first, last = block.span(flag, BEFORE, BEHIND)
-        for own in _dealt(np.flatnonzero(~gone & (flag & (BEFORE | BEHIND) > 0)), block.anchor, parts):
-            out.append((int(block.anchor[own[0]] % _U(parts)), number, _contexts(block, own, first, last)))
+        for own in _dealt(np.flatnonzero(~gone & (flag & (BEFORE | BEHIND) > 0)), block.anchor, blocks):
+            out.append((int(block.anchor[own[0]] % _U(blocks)), number, _contexts(block, own, first, last)))
         many = np.flatnonzero(~gone & (flag & (MANY_BEFORE | MANY_BEHIND) > 0))
         first, last = block.span(flag, MANY_BEFORE, MANY_BEHIND)
         doc, place, hashed = block.strings(first[many], last[many])
@@ -333,8 +335,8 @@ def without_repeats(docs: DataFrame, doc_id: str, text: str, length: int = LENGT
             later = doc > doc[lead]
             begin.append(place[later])
             end.append(place[later] + length)
-            for own in _dealt(np.flatnonzero(~later), hashed, parts):
-                out.append((parts + int(hashed[own[0]] % _U(parts)), number, np.stack((hashed[own].view(np.int64), doc[own], place[own])).astype("<i8").tobytes()))
+            for own in _dealt(np.flatnonzero(~later), hashed, blocks):
+                out.append((blocks + int(hashed[own[0]] % _U(blocks)), number, np.stack((hashed[own].view(np.int64), doc[own], place[own])).astype("<i8").tobytes()))
         local = _packed(_union(np.concatenate(begin), np.concatenate(end)))
         if local:
             out.append((-1 - number, number, local))
@@ -345,7 +347,7 @@ def without_repeats(docs: DataFrame, doc_id: str, text: str, length: int = LENGT
         numbers, payloads = table["block"].to_pylist(), table["payload"].to_pylist()
         if table["part"][0].as_py() < 0:  # what a block has found itself
             return pa.table({"block": pa.array(numbers, pa.int32()), "spans": pa.array(payloads, pa.binary())})
-        if table["part"][0].as_py() >= parts:
+        if table["part"][0].as_py() >= blocks:
             found = [np.frombuffer(x, "<i8").reshape(3, -1) for x in payloads]
             owner = np.repeat(numbers, [x.shape[1] for x in found])
             hashed, doc, place = np.concatenate(found, axis=1)
