@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -82,7 +83,7 @@ def test_probes_meet_all_pairs():
         a = "".join(RNG.choice("abcdefé") for _ in range(RNG.randint(2 * d + 1, 40)))
         b = changed(a, RNG.randint(0, d), "abcdefé")
         if edits(a, b) <= d < min(len(a), len(b)):
-            of = [{(k, o) for k, o, _, _ in lines.probes(x, d)} for x in (a, b)]
+            of = [{(k, o) for k, o, *_ in lines.probes(x, d)} for x in (a, b)]
             assert any(k == j and (o or p) for k, o in of[0] for j, p in of[1])
 
 
@@ -92,6 +93,8 @@ def line_rows():
     for i in range(40):
         own = [changed(RNG.choice(base), RNG.randint(0, 4)) if RNG.random() < 0.6 else RNG.choice(["", "  ", "short", " " + RNG.choice(base) + "\t"]) for _ in range(RNG.randint(0, 7))]
         out.append((i, "\n".join(own)))
+    short = ["".join(RNG.choice("abcdefgh é") for _ in range(RNG.randint(12, 36))).strip() for _ in range(8)]
+    out += [(i, "\n".join(changed(RNG.choice(short), RNG.randint(0, 2)) for _ in range(4))) for i in range(70, 95)]
     out += [(i, "a common beginning of many lines " + "".join(RNG.choice("abcd") for _ in range(12))) for i in range(40, 70)]
     return out + [(100, None), (None, "short\nshort"), (101, "a\na"), (101, "a\na")]
 
@@ -102,7 +105,8 @@ def test_line_dedup(spark):
         gone = []
         for k, line in enumerate(text.split("\n")):
             if line := line.strip(" \t\n\r\x0b\x0c"):
-                if any(x == line or (min(len(x), len(line)) >= lines.SHORTEST and abs(len(x) - len(line)) <= 2 and edits(x, line) <= 2) for x in seen):
+                limit = lambda x: lines.allowed(min(len(x), len(line)))  # noqa: B023, E731
+                if any(x == line or (abs(len(x) - len(line)) <= limit(x) and edits(x, line) <= limit(x)) for x in seen):
                     gone.append(k)
                 seen.append(line)
         want.append((i, gone))
@@ -114,12 +118,47 @@ def test_line_dedup(spark):
 
 
 def test_crowded_segments():
-    for group in (2, 4):
+    for group in (2, 4, 30):
         rows = [((0, i, 0), changed("abcdefghabcdefghabcd" + "xyz" * 5, RNG.randint(0, 5), "abcdxyz")) for i in range(25)]
         found = lines.later_alike([(p, "SEGMENT" + t, "\0" + t, True) for p, t in rows], 2, group)
         assert found == {p for k, (p, t) in enumerate(rows) if any(x != t and edits(x, t) <= 2 for _, x in rows[:k])}
 
 
+def test_short_rests():
+    for limit in (1, 2):
+        for _ in range(150):
+            rests = ["".join(RNG.choice("abc\0") for _ in range(RNG.randint(0, 7))) for _ in range(RNG.randint(2, 30))]
+            members = [((0, i, 0), "SEGMENT" + t, t, True) for i, t in enumerate(rests)]
+            out: set = set()
+            lines._settle_short(members, limit, out)
+            assert {p[1] for p in out} == {i for i, t in enumerate(rests) if any(x != t and edits(x, t) <= limit for x in rests[:i])}
+
+
+def test_template_lines(spark):
+    """Many lines of one template, within seconds; which of them go, by plain rules of the numbers in them."""
+    numbers = RNG.sample(range(10**9), 20_000)
+    names = ["Invoice number %09d of the company, payable within thirty days of the date of its receipt" % n for n in numbers]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(names)], "doc_id long, text string")
+    began = time.monotonic()
+    gone = {r.doc_id for r in lines.without_repeats(frame, "doc_id", "text").collect() if r.removed}
+    assert time.monotonic() - began < 120
+    sample = RNG.sample(range(len(names)), 60)
+    digits = ["%09d" % n for n in numbers]
+    for i in sample:
+        near = any(sum(a != b for a, b in zip(digits[i], digits[j])) <= 2 or lines.within(digits[i], digits[j], 2) for j in range(i))
+        assert (i in gone) == near
+
+
+def test_awkward_lines(spark):
+    long_line = "a long line without an end " * 20_000
+    rows = [(1, long_line), (2, long_line + "x"), (3, "ok\n" + long_line[1:]), (4, ""), (5, None), (None, long_line), (6, long_line), (6, long_line)]
+    clash = {c: F.lit("old") for c in ("block", "n_lines", "removed", "kept", "part", "key", "edits", "_id")}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns(clash)
+    found = sorted(((r.doc_id or 0, list(r.removed)) for r in lines.without_repeats(frame, "doc_id", "text").collect()))
+    assert found == [(0, []), (1, []), (2, [0]), (3, [1]), (4, []), (5, []), (6, [0]), (6, [0])]
+    assert lines.without_repeats(frame.where("false"), "doc_id", "text").collect() == []
+
+
 def test_crowded_periodic_segments(spark):
     pair = ["abcdefg" + "-" * 18 + "hijklmn", "abXcdefg" + "-" * 18 + "hijkmn"]  # meet in the dashes only, at several starts
     crowd = ["".join(RNG.choices("opqrstuvwyz", k=7)) + "-" * 18 + "".join(RNG.choices("opqrstuvwyz", k=7)) for _ in range(lines.GROUP + 20)]
@@ -499,7 +538,8 @@ def test_shared_runs_have_a_common_hash(spark):
 
 def test_next_documents(docs, empty):
     rows = [(r.doc_id, r.text or "") for r in docs.collect()]
-    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1].encode()))
+    signed = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] if r[0] is not None else signed(r[1])), r[1].encode()))
     want = sorted((i is not None, i or 0, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
     for size in (8 << 20, 2000):
         found = fingerprints.with_next(docs, "doc_id", "text", range_bytes=size).collect()
@@ -704,3 +744,40 @@ def test_queries_on_awkward_tables(spark, awkward_folder):
     for r in found["op6_brown_lm"]:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
     assert {r.conv_id for r in found["op3_chat_format"]} >= {-1}
+
+
+# -- ranges ---------------------------------------------------------------------------------------------------------
+
+
+def test_ranges_are_balanced_wherever_ids_stand(spark):
+    from corvane.llm import _common
+
+    for ids in (range(3000), [*range(3000), 1 << 62, -(1 << 62)], [*range(0, 1500), *range(10**15, 10**15 + 1500)], [k * 10**12 for k in range(3000)], [*range(2900), *[7] * 100], [5]):
+        frame = spark.createDataFrame([(i, "x" * 100) for i in ids], "id long, text string").repartition(3)
+        found, n = _common.ranged(frame, "id", "text", 10_000, "part")
+        rows = sorted((r.id, r.part) for r in found.collect())
+        of = collections.defaultdict(set)
+        for i, p in rows:
+            of[i].add(p)
+        assert len(rows) == len(list(ids)) and all(len(p) == 1 for p in of.values()) and [p for _, p in rows] == sorted(p for _, p in rows)
+        sizes = collections.Counter(p for _, p in rows)
+        assert set(sizes) == set(range(n)) and max(sizes.values()) <= 310 and found.columns == ["id", "text", "part"]
+
+
+def test_rows_without_ids_are_spread(spark):
+    rows = [(None, f"text {i % 200} " * 20) for i in range(400)] + [(i, f"own {i} " * 20) for i in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = fingerprints.with_next(frame, "doc_id", "text", range_bytes=3000)
+    signed = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0) if r[0] is not None else -signed(r[1]), r[1]))
+    want = sorted((i is not None, i or 0, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.text, r.next_text) for r in found.collect()) == want
+
+
+def test_far_ids_change_nothing(spark):
+    shared = "One line of more than fifty bytes that many documents of the table share, always the same."
+    rows = [(i, f"{i} " * 30 + "\n" + shared) for i in range(60)]
+    far = [((1 << 61) + i, t) for i, t in rows]
+    for made in (lambda d: lines.without_repeats(d, "doc_id", "text", block_bytes=2000), lambda d: substrings.without_repeats(d, "doc_id", "text", block_bytes=2000)):
+        kept = [sorted((r.doc_id & 0xFF, r.kept) for r in made(spark.createDataFrame(x, "doc_id long, text string")).where("doc_id <> -5").collect()) for x in (rows, far, [*rows[:30], *far[30:]])]
+        assert kept[0] == kept[1] == kept[2]
