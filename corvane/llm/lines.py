@@ -32,7 +32,7 @@ from corvane.llm._common import parts_of, ranged, small_batches, tidied
 DISTANCE, EVERY = 2, 16
 BLOCK_BYTES = 8 << 20
 #: Lines that meet in a segment and are compared as they are; more of them have to meet in a further segment.
-GROUP = 64
+GROUP = 256
 #: Distinct lines of a segment that one task takes; beyond it they meet in two segments from the start.
 HOT = 1 << 15
 
