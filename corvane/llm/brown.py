@@ -30,7 +30,7 @@ SEEDS, CLASSES, ROUNDS = 1_000, 64, 6
 #: How often a word has to occur to be put into a class; those that occur once stand for the unseen.
 LEAST = 2
 #: Words of WORD_BYTES at most whose counts are sent to the executors.
-KNOWN, WORD_BYTES = 100_000, 64
+KNOWN, WORD_BYTES = 300_000, 64
 #: Distinct words or bigrams that a task counts before it passes them on.
 HELD = 200_000
 #: Contexts that a task holds before it passes their counts on; rows that are judged at a time, and words whose gains are held.
