@@ -7,7 +7,7 @@ rims: behind a letter that no letter follows, or behind a digit that no digit fo
 a new piece. So what lies outside the window cannot depend on what lies within, and its ids are final.
 
 Pieces that are longer than any token go the same way: their bytes are cut into leaves, and two runs of ids are joined
-by encoding a growing window of ids around the seam. It ends where the ids on either side of its ends, encoded by
+by encoding a growing window of ids around the seam. It ends where the ids on either side of its ends, merged by
 themselves, stay apart: ids of which each two neighbours stay apart are the encoding of the bytes that they stand for,
 as the first merge across a seam would be the first one across it in those two alone too.
 
@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import struct
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,11 @@ from pyspark.sql import types as T
 from corvane.llm._common import with_row_columns
 
 #: Code points of a leaf of a text, bytes of a leaf of a long piece, ids of a leaf when decoding.
-LEAF = 64
-#: Pieces whose ids a process remembers.
-MEMORY = 1 << 18
+LEAF = 128
+#: Pieces whose ids a process remembers; bytes of a piece that is merged together with others, and how many of them.
+MEMORY, SHORT, ROWS = 1 << 18, 32, 1 << 12
+#: The rank of two neighbours that make no token.
+NONE = 1 << 30
 #: The last letter of a piece and the first of the next one, if the place between them is a rim.
 RIM = regex.compile(r"\p{L}\P{L}|\p{N}\P{N}")
 
@@ -51,21 +55,27 @@ class ByteBPE:
         self.longest = max(map(len, ranks))
         self.split = regex.compile(pattern).findall
         self.is_rim = functools.cache(lambda seam: RIM.match(seam) is not None)
-        self.apart = functools.lru_cache(1 << 16)(lambda a, b: self.merge(self.name[a] + self.name[b]) == [a, b])
+        self.apart = functools.lru_cache(MEMORY)(self._apart)
         self.codes = _Codes(self.piece)
 
+    def _apart(self, a: int | None, b: int) -> bool:
+        """Does merging leave the bytes of two tokens, or of ``b`` alone, as these tokens?"""
+        return self.merge(self.name[b] if a is None else self.name[a] + self.name[b]) == ([b] if a is None else [a, b])
+
     def encode(self, text: str) -> list[int]:
         return array("i", self.packed(text)).tolist()
 
     def packed(self, text: str) -> bytes:
         """The ids of a text as 32-bit integers."""
-        if not text:
-            return b""
-        return b"".join(_reduced([self.node(text[i : i + self.leaf]) for i in range(0, len(text), self.leaf)], self.join)[1])
+        return self.packed_all([text])[0]
 
-    def node(self, text: str) -> Node:
-        pieces = self.split(text)
-        return pieces, list(map(self.codes.__getitem__, pieces))
+    def packed_all(self, texts: list[str]) -> list[bytes]:
+        """``packed`` of each text. The pieces of all leaves that are new are merged at a time."""
+        cut = [[self.split(text[i : i + self.leaf]) for i in range(0, len(text), self.leaf)] for text in texts]
+        self.learn(set().union(*(pieces for leaves in cut for pieces in leaves)) - self.codes.keys())
+        code = self.codes.__getitem__
+        nodes = ([(pieces, list(map(code, pieces))) for pieces in leaves] for leaves in cut)
+        return [b"".join(_reduced(own, self.join)[1]) if own else b"" for own in nodes]
 
     def join(self, left: Node, right: Node) -> Node:
         """The node of both texts, one behind the other."""
@@ -87,7 +97,7 @@ class ByteBPE:
         return pieces, codes
 
     def piece(self, piece: str) -> bytes:
-        """The ids of a piece: its own one where it is a token, else by merging."""
+        """The ids of a piece: its own one where it is a token, else those that merging gives."""
         data = piece.encode()
         if (whole := self.ranks.get(data)) is not None:
             return array("i", [whole]).tobytes()
@@ -107,7 +117,7 @@ class ByteBPE:
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of bytes by merging: time and again the leftmost pair of neighbours that makes the token of least rank."""
-        rank, none = self.ranks.get, 1 << 60
+        rank, none = self.ranks.get, NONE
         cuts = list(range(len(data) + 1))  # where parts begin, and the end
         pairs = [rank(data[i : i + 2], none) for i in cuts[:-2]]  # of each part and the next
         pairs.append(none)
@@ -124,9 +134,73 @@ class ByteBPE:
                 at = pairs.index(least, at)  # many parts: go on behind as long as no lower rank has come up
         return [self.ranks[data[a:b]] for a, b in zip(cuts, cuts[1:])]
 
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Remembers the ids of short pieces, which are merged all at a time, a row of a matrix each."""
+        codes, ranks, one = self.codes, self.ranks, struct.Struct("i").pack
+        new = []
+        for p in pieces:
+            data = p.encode()
+            if data in ranks:
+                codes[p] = one(ranks[data])
+            elif len(data) <= SHORT:
+                new.append((len(data), data, p))
+        new.sort()
+        for k in range(0, len(new), ROWS):
+            some = new[k : k + ROWS]
+            ids, count = self._merged([d for _, d, _ in some])
+            flat, width = ids.tobytes(), 4 * ids.shape[1]
+            for i, (_, _, p) in enumerate(some):
+                codes[p] = flat[i * width : i * width + 4 * count[i]]
+
+    def _merged(self, rows: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """``merge`` of each row: a matrix of ids and how many there are in each row."""
+        size = max(map(len, rows))
+        raw = np.frombuffer(b"".join([r.ljust(size, b"\0") for r in rows]), np.uint8).reshape(-1, size)
+        count = np.array([len(r) for r in rows])
+        ids = np.full((len(rows), size + 1), -1, np.int32)
+        ids[:, :size] = np.where(np.arange(size) < count[:, None], self.of_byte[raw], -1)
+        pairs = self._pairs(ids[:, :-1], ids[:, 1:])
+        place, of, own = np.arange(size), np.arange(len(rows)), ids  # rows that may go on, and what they are so far
+        while len(of):
+            row = np.arange(len(of))
+            at = pairs.argmin(1)
+            least = pairs[row, at]
+            go = least < NONE
+            if not go.all():
+                ids[of] = own
+                of, at, least, own, pairs = of[go], at[go], least[go], own[go], pairs[go]
+                row = row[: len(of)]
+            later = place + (place > at[:, None])
+            own[:, :-1] = np.take_along_axis(own, later, 1)
+            own[row, at] = least
+            pairs = np.take_along_axis(np.concatenate((pairs, np.full((len(of), 1), NONE, np.int32)), 1), later, 1)
+            pairs[row, at] = self._pairs(least, own[row, at + 1])
+            had = np.flatnonzero(at)
+            pairs[had, at[had] - 1] = self._pairs(own[had, at[had] - 1], least[had])
+            count[of] -= 1
+        return ids, count.tolist()
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the token that each two make, NONE if they make none."""
+        keys, made = self.table
+        key = (left.astype(np.int64) << 32) + right
+        found = np.searchsorted(keys, key)
+        return np.where((keys[found] == key) & (right >= 0), made[found], np.int32(NONE))
+
+    @functools.cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of tokens that make one, packed and in order, and the one that they make."""
+        ranks = self.ranks
+        made = sorted(((ranks[t[:i]] << 32) + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
+        return np.array([k for k, _ in made] + [1 << 62]), np.array([r for _, r in made] + [0], np.int32)
+
+    @functools.cached_property
+    def of_byte(self) -> np.ndarray:
+        return np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+
     def decode(self, ids) -> bytes:
-        name = self.name
-        return _reduced([b"".join([name[i] for i in ids[k : k + self.leaf]]) for k in range(0, len(ids), self.leaf)], bytes.__add__) if len(ids) else b""
+        name, ids = self.name.__getitem__, ids if isinstance(ids, list) else ids.tolist()
+        return _reduced([b"".join(map(name, ids[k : k + self.leaf])) for k in range(0, len(ids), self.leaf)], bytes.__add__) if ids else b""
 
 
 class _Codes(dict):
@@ -175,7 +249,7 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, out: str = "token_
         bpe = load(path, pattern)
 
         def apply(values: list) -> list:
-            ids = [bpe.packed(v or "") for v in values]
+            ids = bpe.packed_all([v or "" for v in values])
             ends = np.cumsum([0, *map(len, ids)]) // 4
             return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))]
 
@@ -190,6 +264,6 @@ def decode(df: DataFrame, ids: str, path: str, pattern: str, out: str = "decoded
 
     def prepare():
         bpe = load(path, pattern)
-        return lambda values: [[bpe.decode(v) if v is not None else b"" for v in values]]
+        return lambda values: [list(map(bpe.decode, values))]
 
     return with_row_columns(df, ids, [T.StructField(out, T.BinaryType())], prepare)
