@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -45,16 +46,14 @@ def cleaned(text: str) -> str | None:
 def flatten(record: dict) -> dict[str, object]:
     """Plain keys in document order, outer before inner ones; the first of equal keys holds. Lists are values."""
     out: dict[str, object] = {}
-    open_: list[tuple[object, int]] = [(iter(record.items()), 0)]
-    while open_:
-        pairs, depth = open_[-1]
-        for key, value in pairs:
+
+    def visit(inner: dict, depth: int) -> None:
+        for key, value in inner.items():
             out.setdefault(plain_key(key), value)
             if isinstance(value, dict) and depth < DEPTH:
-                open_.append((iter(value.items()), depth + 1))
-                break
-        else:
-            open_.pop()
+                visit(value, depth + 1)
+
+    visit(record, 0)
     return out
 
 
@@ -78,7 +77,7 @@ def scalar(value) -> str | None:
     if isinstance(value, int):
         return str(value)
     if isinstance(value, float):
-        return str(int(value)) if value.is_integer() and abs(value) < 1e21 else re.sub(r"e([+-])0+", r"e\1", repr(value))
+        return _as_ecmascript(value)
     if isinstance(value, list):
         return ", ".join(x for v in value if (x := scalar(v))) or None
     if isinstance(value, dict):
@@ -86,6 +85,15 @@ def scalar(value) -> str | None:
     return None
 
 
+def _as_ecmascript(value: float) -> str:
+    """The shortest digits that give the number back, with an exponent from 1e21 on and below 1e-6."""
+    if value.is_integer() and abs(value) < 1e21:
+        return str(int(value))
+    if 1e-6 <= abs(value) < 1e-4:  # Python has an exponent here already
+        return format(Decimal(repr(value)), "f")
+    return re.sub(r"e([+-])0+", r"e\1", repr(value))
+
+
 #: The picked fields as text; ``reviews_listed`` is the size of a list of reviews.
 FIELDS = (*ALIASES, "reviews_listed")
 

@@ -37,6 +37,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def is_stable(text: Column) -> Column:
+    """Is the text certain to be its own compatibility form?"""
+    return text.rlike(_STABLE)
+
+
 def nfkc(text: Column) -> Column:
     """Unicode compatibility form. Texts that are certain to be their own form don't travel to Python."""
     return F.coalesce(_nfkc(F.when(~text.rlike(_STABLE), text)), text)
@@ -95,9 +100,16 @@ def is_suspicious_email(email: Column) -> Column:
 
 def normalize_phone(text: Column, unicode: bool = True) -> Column:
     """``+`` and digits: eleven that start with 8 or 7 are Russian, others have 7 to 15; null for anything else."""
-    bare = F.regexp_replace(F.regexp_replace(clean_text(text, unicode), rf"^(?!(?:[0-9+()\-.]|{JS_WS})*\z)(?s:.*)\z", ""), "[^0-9]", "")
-    national = F.regexp_replace(bare, r"^8([0-9]{10})\z", "7$1")
-    return F.concat(F.lit("+"), F.nullif(F.regexp_extract(national, r"^(7[0-9]{10}|(?!7)[0-9]{7,15})\z", 1), F.lit("")))
+    cleaned = clean_text(text, unicode)
+    digits = F.when(cleaned.rlike(rf"^(?:[0-9+()\-.]|{JS_WS})*\z"), F.regexp_replace(cleaned, "[^0-9]", ""))
+    return let(digits, _international)
+
+
+def _international(digits: Column) -> Column:
+    size = F.length(digits)
+    national = F.when((size == 11) & digits.startswith("8"), F.concat(F.lit("7"), F.substring(digits, 2, 10))).when((size == 11) & digits.startswith("7"), digits)
+    foreign = F.when(~digits.startswith("7") & size.between(7, 15), digits)
+    return F.concat(F.lit("+"), F.coalesce(national, foreign))
 
 
 def dedupe_key(external_id: Column, name: Column, city: Column, address: Column, email: Column, phone: Column, website: Column, unicode: bool = True) -> Column:

@@ -106,3 +106,9 @@ def test_depth_guard():
         inner = inner["a"]
     inner["b"] = {"name": "too deep"}
     assert "b" in fields.flatten(record) and "name" not in fields.flatten(record)
+
+
+def test_numbers_as_ecmascript_prints_them():
+    from corvane.functions import fields
+
+    assert [fields.scalar(v) for v in (0.00005, 0.000001, 1e-7, 0.1, 4.0, 1e20, 1e21, 1.5e-10, -0.00002, 123456.789)] == ["0.00005", "0.000001", "1e-7", "0.1", "4", "100000000000000000000", "1e+21", "1.5e-10", "-0.00002", "123456.789"]
