@@ -36,11 +36,19 @@ def _run(spark: SparkSession, id_: int, source_type: str, name: str, started, co
     return spark.createDataFrame([tuple(values[f.split(" ")[0]] for f in schema.split(", "))], schema).withColumn("finished_at", F.current_timestamp())
 
 
-def record_failure(store: Store, source_type: str, name: str, error: Exception) -> None:
-    """A ledger row of an import that changed nothing else."""
-    runs = store.read("import_runs")
-    row = store.spark.createDataFrame([(store.next_id("import_runs"), source_type, name, "failed", {"error": str(error)[:500]})], "id bigint, source_type string, source_name string, status string, metadata map<string,string>")
-    store.write(import_runs=runs.unionByName(row.withColumn("started_at", F.current_timestamp()).withColumn("finished_at", F.current_timestamp()), allowMissingColumns=True))
+def open_run(store: Store, source_type: str, name: str) -> int:
+    """Writes a ``running`` ledger row before the work, so that an import that is killed leaves a trace. Returns its id."""
+    id_ = store.next_id("import_runs")
+    row = store.spark.createDataFrame([(id_, source_type, name, "running")], "id bigint, source_type string, source_name string, status string").withColumn("started_at", F.current_timestamp())
+    store.write(import_runs=store.read("import_runs").unionByName(row, allowMissingColumns=True))
+    return id_
+
+
+def record_failure(store: Store, run: int, error: Exception) -> None:
+    """Closes the ledger row of an import that changed nothing else."""
+    own = F.col("id") == run
+    closed = {"status": F.when(own, "failed").otherwise(F.col("status")), "finished_at": F.when(own, F.current_timestamp()).otherwise(F.col("finished_at")), "metadata": F.when(own, F.create_map(F.lit("error"), F.lit(str(error)[:500]))).otherwise(F.col("metadata"))}
+    store.write(import_runs=store.read("import_runs").withColumns(closed))
 
 
 def import_pages(store: Store, folder: str, replace: bool = False, general: bool = True, batch: int = 500) -> dict[str, int]:
@@ -48,14 +56,15 @@ def import_pages(store: Store, folder: str, replace: bool = False, general: bool
 
     ``replace`` starts from empty tables. A failure is in the ledger and nowhere else.
     """
+    run = open_run(store, PAGES_SOURCE, folder)
     try:
-        return _import_pages(store, folder, replace, general, batch)
+        return _import_pages(store, run, folder, replace, general, batch)
     except Exception as error:
-        record_failure(store, PAGES_SOURCE, folder, error)
+        record_failure(store, run, error)
         raise
 
 
-def _import_pages(store: Store, folder: str, replace: bool, general: bool, batch: int) -> dict[str, int]:
+def _import_pages(store: Store, run: int, folder: str, replace: bool, general: bool, batch: int) -> dict[str, int]:
     spark, started = store.spark, _now(store.spark)
     files = pages.read_pages(spark, folder).count()
     if not files:
@@ -70,7 +79,7 @@ def _import_pages(store: Store, folder: str, replace: bool, general: bool, batch
         counters = {"files_seen": files, "rows_seen": totals.rows_seen, "rows_rejected": totals.rows_rejected, "warnings": issues.agg(warned).first()[0]}
         upserts = counted.first()
         counters |= {"rows_inserted": upserts.inserted, "rows_updated": upserts.updated}
-        run = 1 if replace else store.next_id("import_runs")
+        run = 1 if replace else run
         issues = numbered(issues, F.struct("source_file", "source_row", "_p"), 1 if replace else store.next_id("import_issues"))
         issues = issues.select("id", F.lit(run).alias("import_run_id"), "source_file", "source_row", "i.severity", "i.code", "i.message", F.to_json("raw_data").alias("raw_data"), F.current_timestamp().alias("created_at"))
         known = merged.where("ord.new = 0").withColumn("id", F.col("ord.id")).drop("ord")
@@ -80,7 +89,7 @@ def _import_pages(store: Store, folder: str, replace: bool, general: bool, batch
         if replace:
             changes |= {"import_runs": ledger, "import_issues": issues, "review_rows": spark.createDataFrame([], store.read("review_rows").schema)}
         else:
-            changes |= {"import_runs": store.read("import_runs").unionByName(ledger, allowMissingColumns=True), "import_issues": store.read("import_issues").unionByName(issues)}
+            changes |= {"import_runs": store.read("import_runs").where(F.col("id") != run).unionByName(ledger, allowMissingColumns=True), "import_issues": store.read("import_issues").unionByName(issues)}
         store.write(**changes)
         return counters
     finally:
@@ -90,14 +99,15 @@ def _import_pages(store: Store, folder: str, replace: bool, general: bool, batch
 def import_review(store: Store, path: str, replace: bool = False) -> tuple[dict[str, int], str]:
     """Audits a delimited file against the companies; stores all its rows, issues and a ledger row. Returns the counters
     and the report. ``replace`` first drops earlier audits with their issues and rows."""
+    run = open_run(store, REVIEW_SOURCE, path)
     try:
-        return _import_review(store, path, replace)
+        return _import_review(store, run, path, replace)
     except Exception as error:
-        record_failure(store, REVIEW_SOURCE, path, error)
+        record_failure(store, run, error)
         raise
 
 
-def _import_review(store: Store, path: str, replace: bool) -> tuple[dict[str, int], str]:
+def _import_review(store: Store, run: int, path: str, replace: bool) -> tuple[dict[str, int], str]:
     spark, started = store.spark, _now(store.spark)
     headers, rows = delimited.split_header(delimited.read_delimited(spark, path))
     if not headers:
@@ -111,7 +121,6 @@ def _import_review(store: Store, path: str, replace: bool) -> tuple[dict[str, in
     try:
         s = review.statistics(audited).first()
         base = without_runs(store, REVIEW_SOURCE) if replace else {t: store.read(t) for t in ("import_runs", "import_issues", "review_rows")}
-        run = store.next_id("import_runs")
         issues = audited.select("line", "raw", F.posexplode("issues").alias("_p", "i"))
         counters = {"files_seen": 1, "rows_seen": s.rows_read, "rows_inserted": s.rows_read, "rows_updated": 0, "rows_rejected": s.rows_with_errors, "warnings": issues.where("i.severity = 'warning'").count()}
         issues = numbered(issues, F.struct("line", "_p"), store.next_id("import_issues")).select(
@@ -123,7 +132,7 @@ def _import_review(store: Store, path: str, replace: bool) -> tuple[dict[str, in
         )
         text = review.report(audited, path, problems)
         ledger = _run(spark, run, REVIEW_SOURCE, path, started, counters, {"empty_rows": str(s.empty_rows), "unique_external_ids": str(s.unique_external_ids)})
-        store.write(import_runs=base["import_runs"].unionByName(ledger, allowMissingColumns=True), import_issues=base["import_issues"].unionByName(issues), review_rows=base["review_rows"].unionByName(stored))
+        store.write(import_runs=base["import_runs"].where(F.col("id") != run).unionByName(ledger, allowMissingColumns=True), import_issues=base["import_issues"].unionByName(issues), review_rows=base["review_rows"].unionByName(stored))
         return counters, text
     finally:
         audited.unpersist()

@@ -1,7 +1,8 @@
 """The directory's tables as Parquet folders that change as a whole.
 
-A table is a folder of versions and a pointer file to the one that holds. A change is written beside, then the pointers
-of all changed tables are replaced; readers see the old or the new state of each, and a failed import leaves none.
+A table is a folder of versions. One pointer file says which version of each table holds; a change of several tables is
+written beside, then the pointer is replaced by an overwriting rename, which is one step. Readers see the old or the new
+state of all tables. Tables with versions but without a pointer are damaged, and reading them fails.
 """
 
 from __future__ import annotations
@@ -25,38 +26,46 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _file(self, name: str):
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/CURRENT")
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+    def _path(self, *steps: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *steps)))
 
-    def _current(self, name: str) -> str | None:
-        fs, file = self._file(name)
-        if not fs.exists(file):
-            return None
-        rows = self.spark.read.text(f"{self.path}/{name}/CURRENT").collect()
-        return json.loads(rows[0].value)["version"]
+    def _versions(self) -> dict[str, str]:
+        """The version of each table that holds."""
+        file = self._path("CURRENT")
+        fs = file.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(file):
+            return json.loads(self.spark.read.text(f"{self.path}/CURRENT").first().value)
+        if any(fs.exists(self._path(name)) for name in TABLES) and not fs.exists(self._path("NEW")):
+            raise FileNotFoundError(f"{self.path} has tables but no pointer to their versions")
+        return {}
 
     def read(self, name: str) -> DataFrame:
         """The table as it is now; an empty one if it was never written."""
-        version = self._current(name)
+        version = self._versions().get(name)
         return self.spark.createDataFrame([], TABLES[name]) if version is None else self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/{version}")
 
     def stage(self, name: str, rows: DataFrame) -> tuple[str, str]:
         """Writes a new version that doesn't hold yet."""
         version = f"v-{uuid.uuid4().hex}"
+        if not self._versions():  # a first import that stops before its commit leaves a store without a state
+            mark = self._path("NEW")
+            mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(mark, True).close()
         rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name]]).write.parquet(f"{self.path}/{name}/{version}")
         return name, version
 
     def commit(self, *staged: tuple[str, str]) -> None:
-        for name, version in staged:
-            fs, file = self._file(name)
-            beside = file.suffix(f".{uuid.uuid4().hex}")
-            out = fs.create(beside, True)
-            out.write(bytearray(json.dumps({"version": version}).encode()))
-            out.close()
-            fs.delete(file, False)
-            fs.rename(beside, file)
+        """Makes staged versions hold, all of them in one step."""
+        jvm, file, beside = self.spark._jvm, self._path("CURRENT"), self._path(f"CURRENT.{uuid.uuid4().hex}")
+        versions = self._versions() | dict(staged)
+        fs = file.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        out = fs.create(beside, True)
+        out.write(bytearray(json.dumps(versions).encode()))
+        out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(file.toUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(context.makeQualified(beside), context.makeQualified(file), options)
+        fs.delete(self._path("NEW"), False)
 
     def write(self, **tables: DataFrame) -> None:
         """All tables staged, then all committed."""

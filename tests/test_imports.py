@@ -61,6 +61,32 @@ def test_failures_change_nothing_but_the_ledger(store, folder, tmp_path):
         imports.import_review(Store(store.spark, str(tmp_path / "none")), __file__)
 
 
+def test_a_stopped_import_leaves_the_old_state(store, folder, monkeypatch):
+    imports.import_pages(store, folder)
+    before = {r.external_id for r in store.read("companies").collect()}
+
+    def stopped(*args):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(store, "commit", stopped)
+    with pytest.raises(KeyboardInterrupt):
+        store.write(companies=store.read("companies").limit(1), import_issues=store.read("import_issues").limit(0))
+    monkeypatch.undo()
+    assert {r.external_id for r in store.read("companies").collect()} == before and store.read("import_issues").count() == 6
+    monkeypatch.setattr(imports, "_import_pages", stopped)  # as if the process were killed within
+    with pytest.raises(KeyboardInterrupt):
+        imports.import_pages(store, folder)
+    assert [r.status for r in store.read("import_runs").orderBy("id").collect()] == ["completed", "running"]
+
+
+def test_a_lost_pointer_is_an_error(store, folder, spark):
+    imports.import_pages(store, folder)
+    path = store._path("CURRENT")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+    with pytest.raises(FileNotFoundError):
+        store.read("companies")
+
+
 def test_review(store, folder, tmp_path):
     imports.import_pages(store, folder)
     path = tmp_path / "review.csv"
