@@ -46,15 +46,18 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     fields = [T.StructField("node", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))]
     rows = with_row_columns(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", fields, prepare)
     rows = stored(rows.select("doc_id", "node", "hashes"), "shingles")
-    sets = rows.select("node", "hashes")
     size = F.size("hashes")
-    sought = rows.select("node", size.alias("n"), F.explode(F.slice("hashes", F.lit(1), size - F.floor((4 * size + 4) / 5).cast("int") + 1)).alias("key")).distinct()
-    shared = sought.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
-    met = stored(sought.join(shared, "key"), "shingles-met")
+    sought = rows.select("node", size.alias("n"), F.explode(F.slice("hashes", F.lit(1), size - F.floor((4 * size + 4) / 5).cast("int") + 1)).alias("key"))
+    shared = stored(sought.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least"), "shingles-shared")
+    met = stored(sought.join(shared, "key").distinct(), "shingles-met")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        of = lambda x: sets.dropDuplicates(["node"]).select(F.col("node").alias(x), F.col("hashes").alias(f"{x}_hashes"))
-        both = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
+        """The pairs (a, b) whose sets are; only sets that are in a pair move, where these are few they alone."""
+        pairs = stored(pairs.distinct(), "shingles-pairs")
+        nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "shingles-nodes")
+        sets = stored(rows.select("node", "hashes").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "shingles-sets")
+        of = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"{x}_hashes"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b")
         common = F.size(F.array_intersect("a_hashes", "b_hashes"))
         return both.where(9 * common >= 4 * (F.size("a_hashes") + F.size("b_hashes"))).select("a", "b")
 
