@@ -75,7 +75,8 @@ def normalize_key(key: Column, unicode: bool = True) -> Column:
 def normalize_email(text: Column, unicode: bool = True) -> Column:
     """The first address in a text, in lower case; null without one. What stands around it is ignored."""
     bare = F.regexp_replace(clean_text(text, unicode), "(?i)^mailto:", "")
-    return F.lower(F.nullif(F.regexp_extract(bare, f"(?i){_LOCAL}@{_DOMAIN}", 0), F.lit("")))
+    found = lambda t: F.lower(F.nullif(F.regexp_extract(t, f"(?i){_LOCAL}@{_DOMAIN}", 0), F.lit("")))
+    return let(bare, lambda t: F.when(t.contains("@"), found(t)))  # the pattern is tried at every place of a text
 
 
 def is_plausible_email(email: Column) -> Column:

@@ -12,11 +12,13 @@ from pyspark.sql.window import Window
 def first_seen(rows: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """``rows`` with ``first``, the struct of ``columns`` of the first row of the same key, and ``repeated``.
 
-    A null key is never repeated. The order must be total for a defined result.
+    A null key is never repeated. The order must be total for a defined result. One aggregation with map-side combine,
+    joined to the rows: a key of many rows shrinks before the shuffle, and its rows need not meet in one task.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    known = F.col(key).isNotNull()
-    return rows.withColumn("first", F.when(known, F.first(F.struct(*columns)).over(w))).withColumn("repeated", known & (F.row_number().over(w) > 1))
+    at = F.struct(*order)
+    found = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(at).alias("_at"), F.min_by(F.struct(*columns), at).alias("first"))
+    out = rows.drop("first", "repeated").join(found, F.col(key) == F.col("_key"), "left")
+    return out.withColumn("repeated", F.coalesce(at > F.col("_at"), F.lit(False))).drop("_key", "_at")
 
 
 def keep_last(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -43,7 +45,8 @@ def merged(history: DataFrame, key: str = "dedupe_key", order: str = "ord", newe
     external_id: the first; name and its normal form: the longest, of equally long ones the newest; reviews_count: the
     largest; rating: the newest of the rows whose count of reviews was not below any before; columns ``newest``: the
     newest that isn't null; groups of columns ``together``: those of the newest row; raw_data (a map): later keys win.
-    Window and aggregate share one shuffle by key.
+    Window and aggregate share one shuffle by key, so the rows of a key pass through one task (the window may spill);
+    maps are merged entry by entry beside them and combine before their shuffle.
     """
     columns = set(history.columns)
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -64,15 +67,19 @@ def merged(history: DataFrame, key: str = "dedupe_key", order: str = "ord", newe
     for group in together:
         last = F.max_by(F.struct(*group), order)
         out += [last[c].alias(c) for c in group]
-    if "raw_data" in columns:
-        maps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.map_entries("raw_data").alias("m"))))
-        out.append(maps.alias("_maps"))
     found = rows.groupBy(key).agg(*out)
-    if "raw_data" in columns:
-        empty = F.create_map().cast("map<string,string>")
-        later = lambda a, b: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
-        found = found.withColumn("raw_data", F.aggregate("_maps", empty, lambda a, x: later(a, F.coalesce(F.map_from_entries(x["m"]), empty)))).drop("_maps")
-    return found
+    if "raw_data" not in columns:
+        return found
+    entries = later_entries(history, key, order).withColumnRenamed(key, "_key")
+    return found.join(entries, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
+def later_entries(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, raw_data): the entries of all maps of a key, of equal names the newest; empty without any."""
+    entry = rows.select(key, order, F.explode_outer(F.map_entries("raw_data")).alias("_e"))
+    each = entry.groupBy(key, F.col("_e.key").alias("_name")).agg(F.max_by(F.struct(F.col("_e.value").alias("value")), order)["value"].alias("_value"))
+    named = F.collect_list(F.when(F.col("_name").isNotNull(), F.struct("_name", "_value")))
+    return each.groupBy(key).agg(F.map_from_entries(F.array_sort(named)).alias("raw_data"))
 
 
 COMPANY_NEWEST = ("category", "category_normalized", "city", "city_normalized", "address", "website", "website_normalized", "email", "email_normalized", "phone", "phone_normalized")

@@ -33,6 +33,13 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and texts of the documents. A table of fewer files than cores is dealt out, as one file can be one task's work;
+    a large one has many, and isn't shuffled."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.repartition("doc_id") if len(docs.inputFiles()) < spark.sparkContext.defaultParallelism else docs
+
+
 def _sha(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
@@ -113,17 +120,17 @@ _NORM = f"translate(lower({_CLEAN}), 'ё', 'е')"
 
 @query(f"SELECT doc_id, sha256(nullif({_CLEAN}, '')) AS digest FROM documents")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", _sha(text.clean_text(F.col("text"))).alias("digest"))
+    return _texts(spark, sf_dir).select("doc_id", _sha(text.clean_text(F.col("text"))).alias("digest"))
 
 
 @query(f"SELECT doc_id, sha256({_NORM}) AS digest FROM documents")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", _sha(text.normalize_text(F.col("text"))).alias("digest"))
+    return _texts(spark, sf_dir).select("doc_id", _sha(text.normalize_text(F.col("text"))).alias("digest"))
 
 
 @query(rf"SELECT doc_id, sha256(trim(regexp_replace({_NORM}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ')) AS digest FROM documents")
 def identity_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", _sha(text.identity_text(F.col("text"))).alias("digest"))
+    return _texts(spark, sf_dir).select("doc_id", _sha(text.identity_text(F.col("text"))).alias("digest"))
 
 
 _EMAIL = r"(?i)[a-z0-9.!#$%&''*+/=?^_`{|}~-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+"
@@ -132,7 +139,7 @@ _FOUND = f"lower(nullif(regexp_extract(regexp_replace({_CLEAN}, '(?i)^mailto:',
 
 @query(f"SELECT doc_id, {_FOUND} AS email FROM documents")
 def extract_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", text.normalize_email(F.col("text")).alias("email"))
+    return _texts(spark, sf_dir).select("doc_id", text.normalize_email(F.col("text")).alias("email"))
 
 
 _MAILS = """(SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN lower(replace(c_name, '#', '.')) || '@mail.org' WHEN 1 THEN 'test+' || c_custkey || '@shop.org' WHEN 2 THEN 'a@example.com'
