@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane import schemas
@@ -33,11 +33,14 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """A table of fewer files than cores is dealt out, as one file can be one task's work; a large one has many, and isn't shuffled."""
+    return rows.repartition(key) if len(rows.inputFiles()) < rows.sparkSession.sparkContext.defaultParallelism else rows
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids and texts of the documents. A table of fewer files than cores is dealt out, as one file can be one task's work;
-    a large one has many, and isn't shuffled."""
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.repartition("doc_id") if len(docs.inputFiles()) < spark.sparkContext.defaultParallelism else docs
+    """Ids and texts of the documents."""
+    return _dealt(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _sha(c: Column) -> Column:
@@ -473,11 +476,120 @@ def record_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alias_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
     record = F.struct(F.concat(F.lit("C_"), c).alias("Company-ID"), F.struct(F.concat(F.lit("mailto:MAIL"), (F.col("o_custkey") % 7).cast("string"), F.lit("@shop.org")).alias("e-mail"), F.concat(F.lit("Order  "), o.cast("string")).alias("company name")).alias("contact"), F.concat(F.floor(o % 50 / 10).cast("string"), F.lit(","), (o % 10).cast("string")).alias("Рейтинг"))
-    rows = _t(spark, sf_dir, "orders").select(F.lit("orders").alias("source_file"), F.lit(1).alias("source_page"), o.alias("source_row"), F.to_json(record).alias("record"))
+    rows = _dealt(_t(spark, sf_dir, "orders"), "o_orderkey").select(F.lit("orders").alias("source_file"), F.lit(1).alias("source_page"), o.alias("source_row"), F.to_json(record).alias("record"))
     found = extract.companies(extract.picked(rows))
     return found.select(F.col("source_row").alias("o_orderkey"), F.lower("external_id").alias("external_id"), "name", "email", F.col("rating").cast("double").alias("rating"), "dedupe_key")
 
 
+_FAULTS = {
+    1: ("name", None, [("error", "MISSING_NAME", "row left out: it has no company name")]),
+    2: ("rating", "five", [("warning", "INVALID_RATING_FORMAT", 'rating "five" is not a number, kept as null')]),
+    3: ("rating", "7.5", [("warning", "INVALID_RATING", 'rating "7.5" is not between 0 and 5, kept as null')]),
+    4: ("reviews_count", "4.5", [("warning", "INVALID_REVIEWS_COUNT_FORMAT", 'number of reviews "4.5" is not an integer, kept as null')]),
+    5: ("reviews_count", "-3", [("warning", "INVALID_REVIEWS_COUNT", 'number of reviews "-3" is negative, kept as null')]),
+    6: ("site", "ftp://shop.org", [("warning", "INVALID_WEBSITE", 'site "ftp://shop.org" is no http(s) address')]),
+    7: ("email", "nobody", [("warning", "INVALID_EMAIL", 'e-mail "nobody" is not well formed')]),
+    8: ("email", "test@shop.org", [("warning", "SUSPICIOUS_EMAIL", 'e-mail "test@shop.org" looks like a test or machine address')]),
+    9: ("phone", "call us", [("warning", "INVALID_PHONE", 'phone "call us" can\'t be normalised')]),
+}
+_SAID = " ".join(f"WHEN {n} THEN '" + ";".join(":".join(i) for i in found).replace("'", "''") + "'" for n, (_, _, found) in _FAULTS.items())
+
+
+@query(f"""SELECT o_orderkey, f NOT IN (1, 10) AS accepted, CASE WHEN f NOT IN (2, 3, 10) THEN 4.5::DOUBLE END AS rating, CASE WHEN f NOT IN (4, 5, 10) THEN 12 END AS reviews_count, CASE WHEN f NOT IN (6, 10) THEN 'shop.org' END AS host,
+    CASE WHEN f = 8 THEN 'test@shop.org' WHEN f NOT IN (7, 10) THEN 'a@shop.org' END AS email, CASE WHEN f NOT IN (9, 10) THEN '+79001234567' END AS phone,
+    CASE f {_SAID} WHEN 10 THEN 'error:NO_RECORDS_FOUND:the file has no list of records' ELSE '' END AS issues FROM (SELECT o_orderkey, o_orderkey % 11 AS f FROM orders)""")
+def import_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a record with one fault or none: each rule of an import, its message, and what is kept."""
+    f, o = F.col("o_orderkey") % 11, F.col("o_orderkey")
+    good = {"name": F.concat(F.lit("Order "), o.cast("string")), "rating": F.lit("4,5"), "reviews_count": F.lit("12"), "site": F.lit("https://www.shop.org/"), "email": F.lit("A@shop.org"), "phone": F.lit("8 900 123-45-67")}
+    for n, (field, bad, _) in _FAULTS.items():
+        good[field] = F.when(f == n, F.lit(bad)).otherwise(good[field])
+    record = F.when(f != 10, F.to_json(F.struct(*[c.alias(name) for name, c in good.items()])))
+    rows = _dealt(_t(spark, sf_dir, "orders"), "o_orderkey").select(F.lit("orders").alias("source_file"), F.lit(1).alias("source_page"), o.alias("source_row"), record.alias("record"))
+    said = F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["severity"], i["code"], i["message"])), ";")
+    return extract.companies(extract.picked(rows)).select(F.col("source_row").alias("o_orderkey"), "accepted", F.col("rating").cast("double").alias("rating"), "reviews_count", F.col("website_normalized").alias("host"), "email", F.col("phone_normalized").alias("phone"), said.alias("issues"))
+
+
+@query("""SELECT user_id, event_type AS name, arg_max(event_id, event_id)::VARCHAR AS value FROM events WHERE event_id % 5 <> 0 GROUP BY 1, 2""")
+def raw_data_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a user as maps that are merged: later entries win, rows without a map change nothing."""
+    e, none = F.col("event_id"), F.lit(None).cast("int")
+    rows = _t(spark, sf_dir, "events").select("user_id", "event_id", none.alias("reviews_count"), none.alias("rating"), F.when(e % 5 != 0, F.create_map("event_type", e.cast("string"))).alias("raw_data"))
+    return merge.merged(rows, "user_id", "event_id").select("user_id", F.explode("raw_data").alias("name", "value"))
+
+
+@query("""SELECT count(DISTINCT user_id) FILTER (WHERE user_id % 3 <> 0) AS inserted, count(*) - count(DISTINCT user_id) FILTER (WHERE user_id % 3 <> 0) AS updated FROM events""")
+def upsert_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events upserted into a table that has every third user."""
+    none, u = F.lit(None).cast("string"), F.col("user_id")
+    columns = {"dedupe_key": F.concat(F.lit("u"), u.cast("string")), "external_id": none, "name": F.col("event_type"), "name_normalized": F.col("event_type"), "reviews_count": F.lit(1), "rating": F.lit(4).cast("decimal(3,1)"), "raw_data": F.create_map(F.lit("k"), F.col("event_type"))}
+    columns |= {c: none for c in merge.COMPANY_NEWEST} | {"source_file": F.lit("events"), "source_page": F.lit(1), "source_row": F.col("event_id").cast("int")}
+    rows = _t(spark, sf_dir, "events").select(u, *[c.alias(name) for name, c in columns.items()])
+    existing = rows.where(u % 3 == 0).dropDuplicates(["user_id"]).withColumns({"id": u.cast("bigint"), "imported_at": F.current_timestamp()})
+    return merge.upsert(existing, rows)[1]
+
+
+def _placed(report: DataFrame, name: str, key: str) -> DataFrame:
+    """What a report's rows are about, in their places; a report is a few rows."""
+    return report.select(F.lit(name).alias("report"), F.col(key).alias("key"), F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).alias("place"))
+
+
+@query("""SELECT 'averages' AS report, n_name AS key, row_number() OVER (ORDER BY average DESC, n DESC, n_name)::INTEGER AS place FROM (SELECT n_name, count(*) AS n, round(sum(c_acctbal::DECIMAL(18,2))::DOUBLE / count(*), 2)::DECIMAL(20,2) AS average
+        FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 10 GROUP BY 1)
+    UNION ALL SELECT 'shares', o_orderpriority, row_number() OVER (ORDER BY share DESC, n DESC, o_orderpriority)::INTEGER FROM (SELECT o_orderpriority, count(*) AS n, round(100.0 * count(*) FILTER (WHERE o_orderstatus = 'F') / count(*), 2)::DECIMAL(10,2) AS share FROM orders GROUP BY 1)
+    UNION ALL SELECT 'facet', v, row_number() OVER (ORDER BY label, v)::INTEGER FROM (SELECT lower(c_mktsegment) AS v, min(c_mktsegment) AS label FROM customer WHERE c_mktsegment <> '' GROUP BY 1)
+    UNION ALL SELECT 'issues', k, row_number() OVER (ORDER BY l_returnflag, n DESC, l_linestatus)::INTEGER FROM (SELECT l_returnflag, l_linestatus, l_returnflag || l_linestatus AS k, count(*) AS n FROM lineitem GROUP BY 1, 2)""")
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In which order the reports give their rows."""
+    customers = _t(spark, sf_dir, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
+    rated = customers.join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    out = _placed(analytics.average_by(rated, "n_name", "none", "c_acctbal", F.col("c_acctbal") >= 10, "customers", "average"), "averages", "n_name")
+    out = out.unionByName(_placed(analytics.share_by(_t(spark, sf_dir, "orders"), "o_orderpriority", "none", F.col("o_orderstatus") == "F", "orders", "finished", "percent"), "shares", "o_orderpriority"))
+    out = out.unionByName(_placed(analytics.facet(customers.withColumn("segment", F.lower("c_mktsegment")), "segment", "c_mktsegment"), "facet", "value"))
+    counts = analytics.issue_counts(_t(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
+    return out.unionByName(_placed(counts.withColumn("k", F.concat("l_returnflag", "l_linestatus")), "issues", "k"))
+
+
+@query("""WITH c AS (SELECT *, row_number() OVER (ORDER BY lower(c_name), c_custkey) AS rn, count(*) OVER () AS total FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(c_name), 'customer'))
+    SELECT c_custkey AS id, c_name AS name, c_mktsegment AS category, n_name AS city, ((c_custkey % 50) / 10.0)::DECIMAL(3,1)::VARCHAR AS rating, total, (total + 99) // 100 AS page FROM c WHERE rn > (total + 99) // 100 * 100 - 100""")
+def listing_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last page of a search: a page beyond the last and a size beyond the largest are brought back."""
+    companies = _companies(spark, sf_dir).withColumns({"name_normalized": F.lower("name"), "city_normalized": F.lower("city"), "website": F.col("website_normalized"), "email": F.lit(None).cast("string"), "phone": F.col("phone_normalized")})
+    page = analytics.list_companies(companies, "  CUSTOMER ", "", 1_000_000, 1_000)
+    return page.rows.select("id", "name", "category", "city", "rating", F.lit(page.total).cast("bigint").alias("total"), F.lit(page.page).cast("bigint").alias("page"))
+
+
+@query("""SELECT c_nationkey, c_custkey, (1 + 2 * row_number() OVER w - 1)::INTEGER AS line, c_name || chr(10) || '"x", y' AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS segment FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)""")
+def delimited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as one delimited text a nation, read back by header: quotes, breaks inside fields, short rows."""
+    k = F.col("c_custkey")
+    row = F.concat(k.cast("string"), F.lit(';"'), F.col("c_name"), F.lit('\n""x"", y"'), F.when(k % 3 != 0, F.concat(F.lit("; "), F.col("c_mktsegment"))).otherwise(""))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), row.alias("row")))), lambda x: x["row"])
+    files = _t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.concat(F.lit("id;name;segment\r\n"), F.array_join(lines, "\r\n")).alias("text"))
+    spark.udtf.register("corvane_parse_delimited", delimited.ParseDelimited)
+    files.createOrReplaceTempView("corvane_delimited_rows")
+    rows = spark.sql("SELECT c_nationkey, line, values FROM corvane_delimited_rows, LATERAL corvane_parse_delimited(text, ';')").where("line > 1")
+    named = delimited.as_map(["id", "name", "segment"], F.col("values"))
+    return rows.select("c_nationkey", "line", named.alias("m")).select("c_nationkey", F.col("m")["id"].cast(_t(spark, sf_dir, "customer").schema["c_custkey"].dataType).alias("c_custkey"), "line", F.col("m")["name"].alias("name"), F.col("m")["segment"].alias("segment"))
+
+
+@query("""SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INTEGER AS source_row, event_id::VARCHAR AS id FROM events""")
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of each user as a payload of one of four shapes, and the records found in it."""
+    item = F.struct(F.col("event_id"), F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("name")).alias("r"))
+    users = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["r"]).alias("items"))
+    items, u = F.col("items"), F.col("user_id")
+    shapes = [F.to_json(items), F.to_json(F.struct(F.lit(1).alias("meta"), F.struct(items.alias("items")).alias("data"))), F.to_json(F.struct(items.alias("results"))), F.to_json(F.struct(F.struct(items.alias("y"), F.array(F.struct(F.lit(1).alias("q"))).alias("z")).alias("x")))]
+    payloads = users.select(F.lit("events").alias("source_file"), u.alias("source_page"), F.get(F.array(*shapes), (u % 4).cast("int")).alias("text"))
+    return pages.records(payloads).select(F.col("source_page").alias("user_id"), "source_row", F.get_json_object("record", "$.id").alias("id"))
+
+
+@query("""SELECT o_orderkey, o_orderkey % 4 IN (1, 2) AS broken FROM orders""")
+def broken_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = F.array(F.lit("Москва"), F.lit("РњРѕСЃРєРІР°"), F.lit("РЎР°СЂР°С‚РѕРІ"), F.lit("Moscow"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", text.looks_like_mojibake(F.get(forms, (F.col("o_orderkey") % 4).cast("int"))).alias("broken"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of large parts by brand: the analytic query that a directory is asked most."""
     return filtered_share_text(spark, sf_dir)
