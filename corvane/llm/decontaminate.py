@@ -39,12 +39,12 @@ def words(text: str | None) -> list[bytes]:
 class WuManber:
     """Finds windows of ``size`` words of the items; an item of fewer words, but not none, is one window."""
 
-    def __init__(self, items: Iterable[tuple[str, str | None]], size: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], size: int = WINDOW):
         owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
         for item, text in items:
             found = words(text)
             for i in range(max(1, len(found) - size + 1) if found else 0):
-                owners[tuple(found[i : i + size])].add(item)
+                owners[tuple(found[i : i + size])].update([] if item is None else [item])
         by_length = defaultdict(list)
         for pattern, ids in owners.items():
             by_length[len(pattern)].append((pattern, sorted(ids)))
@@ -115,7 +115,7 @@ def decontaminate(docs: DataFrame, text: str, items: DataFrame, item_id: str, it
 
 def _pass(items, text: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = WuManber(((i if i is not None else "", t) for i, t in items.value), window)
+        finder = WuManber(items.value, window)
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for part in slices(batch, text):
@@ -128,7 +128,6 @@ def _pass(items, text: str, window: int):
                     if before[1]:
                         hits = merged(hits + [(s["start"], s["end"]) for s in before[1][i]])
                         owners.update(before[2][i])
-                    owners.discard("")
                     counts.append(len(found))
                     spans.append([{"start": a, "end": b} for a, b in hits])
                     ids.append(sorted(owners))

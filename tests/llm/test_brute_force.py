@@ -567,6 +567,11 @@ def test_equal_texts_and_likeness(docs):
 # -- 8: decontamination ---------------------------------------------------------------------------------------------
 
 
+def test_decontamination_keeps_empty_ids_and_leaves_out_null_ones():
+    finder = decontaminate.WuManber([("", "alpha beta"), (None, "gamma")])
+    assert finder.search(decontaminate.words("alpha beta gamma")) == ([(0, 3)], {""})
+
+
 def test_decontamination(spark, docs):
     items = [(1, "alpha beta gamma delta der die alpha beta gamma delta der die"), (2, "12 x"), (3, ""), (4, None), (5, "ñandú"), (None, "l eau"), (1, "omega omega"), (6, " ".join(texts()[20].split()[:15]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
