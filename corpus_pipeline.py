@@ -57,7 +57,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and whether they decode to its bytes again. A null text is an empty one, without ids; repeated
     rows stay; long texts are encoded whole."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    found = bpe.decode(bpe.encode(docs, "text", *vocabulary), "token_ids", *vocabulary)
+    found = bpe.encode(docs, "text", *vocabulary, decoded="decoded")
     return found.select("doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
 
 

@@ -31,9 +31,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", *vocabulary).select("doc_id", "token_ids")
-    digests = ids.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), _sha(F.array_join(F.col("token_ids").cast("array<string>"), " ")).alias("ids_sha256"), "token_ids")
-    return bpe.decode(digests, "token_ids", *vocabulary).select("doc_id", "n_tokens", "ids_sha256", _sha(F.col("decoded")).alias("decoded_sha256"))
+    found = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", *vocabulary, decoded="decoded")
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), _sha(ids).alias("ids_sha256"), _sha(F.col("decoded")).alias("decoded_sha256"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

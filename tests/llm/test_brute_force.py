@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
@@ -215,6 +216,40 @@ def test_bpe_frames(docs, empty, library):
     assert bpe.encode(empty, "text", PATH, public_tokenizers.PATTERN).collect() == []
 
 
+def test_leaves_end_at_rims_and_pieces_are_remembered(library, monkeypatch):
+    ranks, whole = library
+    own = bpe.ByteBPE(ranks, public_tokenizers.PATTERN)
+    text = "it's the 1st thing, and 22 more. " * 40
+    leaves = own.leaves(text)
+    assert "".join(leaves) == text and len(leaves) > 8 and all(own.is_rim(a[-1] + b[0]) for a, b in zip(leaves, leaves[1:]))
+    monkeypatch.setattr(bpe, "MEMORY", 50)
+    merged = []
+    monkeypatch.setattr(own, "_merged", lambda rows, f=own._merged: merged.extend(rows) or f(rows))
+    words = [f" w{chr(97 + i // 26)}{chr(97 + i % 26)}qzx" for i in range(60)]
+    for part in (words, ["!"], words):  # too many to be kept twice, but those of before are still at hand
+        text = "".join(part)
+        assert own.encode(text) == whole.encode_ordinary(text)
+    assert len(merged) == len(set(merged)) > 50
+
+
+def test_ascii_form_of_the_pattern():
+    whole, ascii_ = regex.compile(public_tokenizers.PATTERN).findall, bpe._for_ascii(public_tokenizers.PATTERN)
+    assert ascii_.__self__.pattern != public_tokenizers.PATTERN
+    parts = [*map(chr, range(128)), *["'s", "'ll", " ", "  ", "a", "B", "1", "\n"] * 8]
+    own = random.Random(3)
+    for _ in range(5000):
+        text = "".join(own.choices(parts, k=own.randint(0, 20)))
+        assert ascii_(text) == whole(text)
+    assert not any(map(bpe._for_ascii, (r"(?i:'s)|\p{L}+", r"\w+", r"\P{L}", r"[\S]", r"[[a]]", r"[^\r\n\p{L}]+")))
+
+
+def test_decoded_on_the_way(docs, library):
+    vocabulary = PATH, public_tokenizers.PATTERN
+    rows = bpe.encode(docs, "text", *vocabulary, "ids", decoded="bytes").collect()
+    assert len(rows) == docs.count() and all(r.ids == library[1].encode_ordinary(r.text or "") and bytes(r.bytes) == (r.text or "").encode() for r in rows)
+    assert bpe.encode(docs, "text", *vocabulary, decoded="decoded").columns == [*(c for c in docs.columns if c not in ("token_ids", "decoded")), "token_ids", "decoded"]
+
+
 # -- 3: chat --------------------------------------------------------------------------------------------------------
 
 
