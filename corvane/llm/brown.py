@@ -13,7 +13,7 @@ those of other words are joined.
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,16 +31,17 @@ SEEDS, CLASSES, ROUNDS = 1_000, 64, 6
 LEAST = 2
 #: Words of WORD_BYTES at most whose counts are sent to the executors.
 KNOWN, WORD_BYTES = 300_000, 64
-#: Distinct words or bigrams that a task counts before it passes them on.
+#: Distinct words that a task tells apart before it passes their counts on.
 HELD = 200_000
-#: Contexts that a task holds before it passes their counts on; rows that are judged at a time, and words whose gains are held.
-EVENTS, ROWS, WORDS = 1 << 22, 1 << 12, 1 << 8
+#: Words (of so many bytes at most) or contexts that a task holds before it passes their counts on; rows that are judged at a time, and words whose gains are held.
+EVENTS, HELD_BYTES, ROWS, WORDS = 1 << 22, 1 << 24, 1 << 12, 1 << 8
 #: Weight of a class's overall frequency in each transition.
 PRIOR = 8.0
 
 #: Classes by shape: 0 has a digit, 1 no letter, then by end, alphabet and length.
 SHAPES = 14
 _NO_LETTER = bytes(c for c in range(128) if not (97 <= c <= 122 or 65 <= c <= 90))
+_MARKS = np.array([48 <= c <= 57 or 2 * (97 <= c <= 122 or 65 <= c <= 90) or 4 * (c > 127) for c in range(256)], np.uint8)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -57,46 +58,60 @@ def shape(word: bytes) -> int:
     return 2 + 6 * (last < 128 and not 97 <= last <= 122) + 3 * (not word.isascii()) + (len(word) > 4) + (len(word) > 9)
 
 
-class Codes(dict):
-    """Codes of known words; any other word has ``first`` plus its shape."""
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``words`` of all texts, one text's behind the other's, and how many each text has; without a Python value for each."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = found.flatten()
+    there = pc.greater(pc.binary_length(flat), 0)  # white space at an end of the text has an empty word beyond it
+    before = np.concatenate(([0], np.cumsum(there.to_numpy(zero_copy_only=False))))
+    ends = found.offsets.to_numpy()
+    return flat.filter(there), np.diff(before[ends - ends[0]])
 
-    def __init__(self, known: list[bytes]):
-        super().__init__(zip(known, range(len(known))))
-        self.first = self.kept = len(known)
 
-    def __missing__(self, word: bytes) -> int:
-        code = self.first + shape(word)
-        if len(self) > self.kept + HELD:  # remembered so far
-            for w in [w for w, c in self.items() if c >= self.first]:
-                del self[w]
-        self[word] = code
-        return code
+def shapes(found: pa.Array) -> np.ndarray:
+    """``shape`` of each word."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    _, offsets, data = found.buffers()
+    ends = np.frombuffer(offsets, np.int32)[found.offset : found.offset + len(found) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+    marks = np.bitwise_or.reduceat(_MARKS[raw], ends[:-1] - ends[0])
+    last, size = raw[ends[1:] - ends[0] - 1], np.diff(ends)
+    out = 2 + 6 * ((last < 128) & ((last < 97) | (last > 122))) + 3 * (marks & 4 > 0) + (size > 4) + (size > 9)
+    return np.where(marks & 1, 0, np.where(marks & 6, out, 1))
+
+
+def codes(found: pa.Array, places: dict[bytes, int]) -> np.ndarray:
+    """Of each word its place, or the number of places plus its shape. Distinct words are looked up once."""
+    found = found.dictionary_encode()
+    own = found.dictionary
+    of = np.fromiter(map(places.get, own.cast(pa.binary()).to_numpy(zero_copy_only=False), itertools.repeat(-1)), np.int32, len(own))
+    of = np.where(of < 0, len(places) + shapes(own), of).astype(np.int32)
+    return of[found.indices.to_numpy()]
 
 
 def count_words(docs: DataFrame, text: str) -> DataFrame:
-    """(word, shape, n): how often each word occurs in all documents. Tasks count before anything is shuffled."""
+    """(word, n): how often each word occurs in all documents. Tasks count before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held: list[pa.Array] = []
 
         def out() -> pa.RecordBatch:
-            names = list(counts)
-            arrays = [pa.array([w.decode() for w in names], pa.string()), pa.array([shape(w) for w in names], pa.int32()), pa.array(list(counts.values()), pa.int64())]
-            counts.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["word", "shape", "n"])
+            counts = pc.value_counts(pa.chunked_array(held, pa.string()))
+            held.clear()
+            return pa.RecordBatch.from_arrays(counts.flatten(), names=["word", "n"])
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for value in part.column(0).to_pylist():
-                    counts.update(words(value))
-                if len(counts) > HELD:
+                held.append(split(part.column(0))[0])
+                if sum(map(len, held)) > EVENTS or sum(h.nbytes for h in held) > HELD_BYTES:
                     yield out()
         yield out()
         released()
 
     small_batches(docs.sparkSession)
-    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, shape int, n bigint")
-    return found.groupBy("word", "shape").agg(F.sum("n").alias("n"))
+    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, n bigint")
+    return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def encoded(docs: DataFrame, text: str, known: list[bytes]) -> DataFrame:
@@ -105,23 +120,26 @@ def encoded(docs: DataFrame, text: str, known: list[bytes]) -> DataFrame:
     names = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, first = Codes(names.value), len(names.value)
-        code = codes.__getitem__
+        places = dict(zip(names.value, itertools.count()))
         for batch in batches:
             for part in slices(batch, "text"):
-                lines, rare = [], []
-                for value in part.column(0).to_pylist():
-                    own = words(value)
-                    line = np.array(list(map(code, own)), np.int32)
-                    lines.append(line.tobytes())
-                    rare.append([own[i].decode() for i in np.flatnonzero(line >= first).tolist()])
-                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()), pa.array(rare, pa.list_(pa.string()))], names=["codes", "rare"])
+                flat, sizes = split(part.column(0))
+                line, ends = codes(flat, places), _ends(sizes)
+                unknown = line >= len(places)
+                lines = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(line)])
+                rare = pa.ListArray.from_arrays(pa.array(_ends(unknown)[ends], pa.int32()), flat.filter(pa.array(unknown)))
+                yield pa.RecordBatch.from_arrays([lines, rare], names=["codes", "rare"])
         released()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "codes binary, rare array<string>")
 
 
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    """Where runs of these sizes begin, and the end."""
+    return np.concatenate(([0], np.cumsum(sizes)))
+
+
 def _line(part: pa.RecordBatch, edge: int) -> np.ndarray:
     """The codes of all texts with an edge before, between and after them."""
     edges = np.int32(edge).tobytes()
@@ -164,14 +182,18 @@ def contexts(coded: DataFrame, known: list[bytes], seeds: int, symbols: np.ndarr
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            word, context = np.divmod(keys, width)
+            keys = np.concatenate(held)
+            held.clear()
+            keys.sort()
+            first_at = np.flatnonzero(np.diff(keys, prepend=-1))
+            n = np.diff(first_at, append=len(keys))
+            word, context = np.divmod(keys[first_at], width)
+            del keys, first_at
             start = np.flatnonzero(np.diff(word, prepend=-1))
             others = list(local)
             texts = [names.value[i] if i < first else others[i - edge - 1] for i in word[start].tolist()]
             data = n.astype(np.uint64) << np.uint64(16) | context.astype(np.uint64)
             ends = (np.append(start, len(word)) * 8).astype(np.int32)
-            held.clear()
             local.clear()
             return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data)])], names=["word", "counts"])
 
@@ -207,11 +229,14 @@ def gains(table: np.ndarray, classes: int, own: np.ndarray, word: np.ndarray, co
         w, j = np.nonzero(counts)
         if not len(w):
             continue
-        base = there.T[j]
+        found = (_f(there + 1) - _f(there)).T[j]  # of those that occur once
         left = j == own[w]
-        base[left] -= other[w[left], :classes]  # the word itself is no longer there
+        again = np.flatnonzero(left | (counts[w, j] != 1))
+        base, left = there.T[j[again]], left[again]
+        base[left] -= other[w[again][left], :classes]  # the word itself is no longer there
+        found[again] = _f(base + counts[w, j][again, None]) - _f(base)
         start = np.flatnonzero(np.diff(w, prepend=-1))
-        out[w[start]] += np.add.reduceat(_f(base + counts[w, j][:, None]) - _f(base), start)
+        out[w[start]] += np.add.reduceat(found, start)
     middle, rows, columns = table.diagonal()[:classes], table.sum(1)[:classes], table.sum(0)[:classes]
     after, before = after[:, :classes], before[:, :classes]
     out -= _f(middle + after) + _f(middle + before) - _f(middle)
@@ -226,26 +251,27 @@ def placed(found: DataFrame, known: list[bytes], table: np.ndarray, classes: int
     names = found.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(known)})
 
     def judged(rows: pa.Table) -> pa.RecordBatch:
-        column = rows["word"].combine_chunks()
-        texts, counts = column.to_pylist(), rows["counts"].to_pylist()
-        new = np.array([True] + [a != b for a, b in zip(texts, texts[1:])])
+        texts, counts = (pa.concat_arrays(rows[c].chunks) for c in ("word", "counts"))
+        new = np.append(True, pc.not_equal(texts[1:], texts[:-1]).to_numpy(zero_copy_only=False))
         number = np.cumsum(new) - 1
-        own = [w.encode() for w, x in zip(texts, new.tolist()) if x]
-        data = np.frombuffer(b"".join(counts), np.uint64)
-        key = np.repeat(number, [len(c) // 8 for c in counts]) * (2 * size + 1) + (data & np.uint64(0xFFFF)).astype(np.int64)
+        own = texts.filter(pa.array(new))
+        data = np.frombuffer(b"".join(counts.to_numpy(zero_copy_only=False)), np.uint64)
+        key = np.repeat(number, pc.binary_length(counts).to_numpy() // 8) * (2 * size + 1) + (data & np.uint64(0xFFFF)).astype(np.int64)
         key, at = np.unique(key, return_inverse=True)
         n = np.bincount(at, (data >> np.uint64(16)).astype(np.float64))
         word, context = np.divmod(key, 2 * size + 1)
         totals = np.bincount(word, np.where((context < size) | (context == 2 * size), n, 0), len(own))  # each word has one that follows
-        of = classes + np.array([shape(w) for w in own])
+        of = classes + shapes(own)
         often = np.flatnonzero(totals >= least)
         start = np.searchsorted(word, np.arange(len(own) + 1))
         for k in range(0, len(often), WORDS):
             some = often[k : k + WORDS]
-            mine = np.concatenate([np.arange(start[i], start[i + 1]) for i in some])
-            of[some] = gains(table, classes, of[some], np.repeat(np.arange(len(some)), start[some + 1] - start[some]), context[mine], n[mine]).argmax(1)
-        code = [names.value.get(w, -1) for w in own]
-        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in own], pa.string()), pa.array(totals.astype(np.int64)), pa.array(of.astype(np.int32)), pa.array(code, pa.int32())], names=["word", "n", "class", "code"])
+            sizes = start[some + 1] - start[some]
+            ends = _ends(sizes)
+            mine = np.arange(ends[-1]) + np.repeat(start[some] - ends[:-1], sizes)
+            of[some] = gains(table, classes, of[some], np.repeat(np.arange(len(some)), sizes), context[mine], n[mine]).argmax(1)
+        code = np.fromiter(map(names.value.get, own.cast(pa.binary()).to_numpy(zero_copy_only=False), itertools.repeat(-1)), np.int32, len(own))
+        return pa.RecordBatch.from_arrays([own, pa.array(totals.astype(np.int64)), pa.array(of.astype(np.int32)), pa.array(code)], names=["word", "n", "class", "code"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -366,10 +392,10 @@ def fit(docs: DataFrame, text: str, clustered: int | None = None, classes: int =
     all_tokens, all_types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = vocabulary.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.col("n").desc(), "word").limit(known).toArrow()
     names = [w.encode() for w in top["word"].to_pylist()]
-    counts, shapes = top["n"].to_numpy().astype(np.int64), top["shape"].to_numpy()
+    counts, formed = top["n"].to_numpy().astype(np.int64), shapes(pa.concat_arrays([*top["word"].chunks, pa.array([], pa.string())]))
     head = min(seeds if clustered is None else clustered, len(names))
     coded = stored(encoded(docs, text, names), "coded")
-    symbols = np.concatenate((np.arange(head), head + shapes[head:], head + np.arange(SHAPES + 1))).astype(np.int32)
+    symbols = np.concatenate((np.arange(head), head + formed[head:], head + np.arange(SHAPES + 1))).astype(np.int32)
     bigrams = count_pairs(coded, symbols, head + SHAPES + 1)
     brown = min(classes, max(1, head))
     of = exchange(bigrams, head, brown)
@@ -382,7 +408,7 @@ def fit(docs: DataFrame, text: str, clustered: int | None = None, classes: int =
         own[rows["code"].to_numpy()] = rows["class"].to_numpy()
         others = found.where("code < 0").select("word", "n", "class")
     else:
-        others = vocabulary.join(docs.sparkSession.createDataFrame(top.select(["word"])), "word", "left_anti").select("word", "n", (F.col("shape") + brown).alias("class"))
+        others = vocabulary.join(docs.sparkSession.createDataFrame(top.select(["word"])), "word", "left_anti").select("word", "n", (_shape_of(F.col("word")) + brown).alias("class"))
     sizes = np.bincount(own[: len(names)], counts + (own[: len(names)] >= brown), k) + (np.arange(k) >= brown)
     for r in others.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
         sizes[r["class"]] += r["n"] + (r["types"] if r["class"] >= brown else 0)
@@ -408,26 +434,27 @@ def score(docs: DataFrame, text: str, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts, classes, emissions, transitions = broadcast.value
-        codes = Codes(names)
-        code, edge = codes.__getitem__, [count + SHAPES]
-        base = np.concatenate((np.log10(counts + 1.0), np.zeros(SHAPES)))
-        emitted = np.concatenate((emissions, np.zeros(SHAPES)))
+        places, edge = dict(zip(names, itertools.count())), np.array([count + SHAPES], np.int32)
+        base = np.concatenate((np.log10(counts + 1.0), np.zeros(SHAPES + 1)))
+        emitted = np.concatenate((emissions, np.zeros(SHAPES + 1)))
         for batch in batches:
             for part in slices(batch, text):
                 column = dict(zip(part.schema.names, part.columns))
-                rows: list[tuple] = []
-                for value in column.pop(text).to_pylist():
-                    own = words(value)
-                    line = np.array(edge + list(map(code, own)) + edge, np.int64)
-                    inner = line[1:-1]
-                    path = classes[line]
-                    seen = int((inner < count).sum())
-                    rare = [{"word": own[i].decode(), "place": i, "left": path[i], "right": path[i + 2]} for i in np.flatnonzero(inner >= count).tolist()]
-                    both = (path[:-1] >= 0) & (path[1:] >= 0)
-                    rows.append((len(own) + 1, seen + ended, base[inner].sum() + end - total * (len(own) + 1), transitions[path[:-1][both], path[1:][both]].sum() + emitted[inner].sum(), rare))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.string()), ("place", pa.int32()), ("left", pa.int32()), ("right", pa.int32())])))
-                arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+                flat, sizes = split(column.pop(text))
+                line = np.concatenate((edge, np.insert(codes(flat, places), np.cumsum(sizes), edge)))  # an edge before, between and after texts
+                after, path = line[1:], classes[line]
+                start = _ends(sizes + 1)[:-1]  # of each text, in ``after``, where its own edge is the last
+                left, right = path[:-1], path[1:]
+                moved = np.where((left >= 0) & (right >= 0), transitions[left, right], 0)
+                at = np.flatnonzero((after >= count) & (after < edge))
+                own = _ends((after >= count) & (after < edge))[np.append(start, len(after))]
+                place = at - np.repeat(start, np.diff(own))
+                kinds = (flat.filter(pa.array((after >= count)[after < edge])), pa.array(place, pa.int32()), pa.array(left[at], pa.int32()), pa.array(path[at + 2], pa.int32()))
+                rare = pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.StructArray.from_arrays(kinds, names=["word", "place", "left", "right"]))
+                seen, bases, scores = (np.add.reduceat(x, start) for x in ((after < count).astype(np.int64), base[after], moved + emitted[after]))
+                arrays = [pa.array(sizes + 1, pa.int64()), pa.array(seen + ended, pa.int64()), pa.array(bases + end - total * (sizes + 1)), pa.array(scores), rare]
                 yield pa.RecordBatch.from_arrays([*column.values(), *arrays], names=[*column, *new, "_rare"])
+        released()
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_tokens bigint, n_known bigint, base_score double, score double, _rare array<struct<word:string,place:int,left:int,right:int>>"])
     partial = docs.select(*[F.col(f"`{c}`") for c in keep], text).mapInArrow(run, schema)

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -504,6 +505,20 @@ def test_all_repeated_words_are_classed(docs):
     assert all(math.isclose(s, scores[1][i], rel_tol=1e-9) for i, s in scores[0].items())
 
 
+def test_words_by_column():
+    own = random.Random(6)
+    parts = ["A", "b", "é", "É", "Ж", " ", " ", "\t", "\x0b", "\x1c", "\x85", "\xa0", "1", "-", "日", "\x00", "\x7f"]
+    texts = [None, "", " ", " a", "a ", "  A B\tc\x0b\x0cd\r\ne "] + ["".join(own.choices(parts, k=own.randint(0, 30))) for _ in range(3000)]
+    for column in (pa.array(texts), pa.array(["z y", *texts, "q"]).slice(1, len(texts)), pa.array([], pa.string()), pa.array([None], pa.string())):
+        found, sizes = brown.split(column)
+        want = [brown.words(t) for t in column.to_pylist()]
+        flat = [w for own in want for w in own]
+        assert found.cast(pa.binary()).to_pylist() == flat and sizes.tolist() == list(map(len, want))
+        assert brown.shapes(found).tolist() == [brown.shape(w) for w in flat] and brown.shapes(found.slice(5)).tolist() == [brown.shape(w) for w in flat[5:]]
+        places = {w: i for i, w in enumerate(sorted(set(flat))[::2])}
+        assert brown.codes(found, places).tolist() == [places.get(w, len(places) + brown.shape(w)) for w in flat]
+
+
 def test_shapes_agree(spark):
     words = ["a", "abcdef", "abcdefghijk", "é", "éabcdef", "a.", "é.", "12", "a1", "--", "a-", "日本"]
     frame = spark.createDataFrame([(w,) for w in words], "w string")
